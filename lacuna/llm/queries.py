@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import documents
+from . import simhash, tokenbin
+from .common import documents, shared_dir
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +16,23 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark).rstrip('/')}/lacuna/tokens-{uuid.uuid4().hex}"
+    tokenbin.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenbin.read_tokens(spark, path, digest=True)
+
+
+#: Names and queries, in the order of the operators.
+QUERIES = {
+    "op6_token_output": op6_token_output,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+}
+
+
 def queries() -> dict:
-    return {"op10_simhash_near_dedup": op10_simhash_near_dedup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
