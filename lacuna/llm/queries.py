@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, tokenbin
+from . import decontaminate, mixing, simhash, tokenbin
 from .common import documents, shared_dir
 
 
@@ -24,9 +24,21 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(spark, path, digest=True)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), width=10)
+    ids = F.array_join("item_ids", ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("source")
+
+
 #: Names and queries, in the order of the operators.
 QUERIES = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op6_token_output": op6_token_output,
+    "op7_source_mixing": op7_source_mixing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -36,4 +48,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
+        "op7_source_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.oracle()}) t",
+    }
