@@ -33,10 +33,10 @@ def seats_sql(name: str, cells: str, group: str, order: str) -> str:
     return f"""
 {name}_r AS (SELECT *, CAST(floor(weight + 0.5) AS BIGINT) AS r, CAST(floor(sum(weight) OVER ({by}) + 0.5) AS BIGINT) AS goal FROM {cells}),
 {name}_d AS (SELECT *, goal - CAST(sum(r) OVER ({by}) AS BIGINT) AS diff FROM {name}_r),
-{name}_q AS (SELECT *, CASE WHEN diff > 0 THEN -weight / (2 * (r + k - 1) + 1) ELSE weight / (2 * (r - k) + 1) END AS q FROM
-  (SELECT *, <each:1;abs(diff)> AS k FROM {name}_d WHERE diff <> 0) t WHERE diff > 0 OR k <= r),
-{name}_n AS (SELECT *, row_number() OVER (PARTITION BY {group + ',' if group else ''} diff ORDER BY q, {order}, k) AS at FROM {name}_q),
-{name}_m AS (SELECT cell, CAST(sum(CASE WHEN diff > 0 THEN 1 ELSE -1 END) AS BIGINT) AS moved FROM {name}_n WHERE at <= abs(diff) GROUP BY cell),
+{name}_q AS (SELECT *, CASE WHEN diff > 0 THEN -weight / (2 * (r + step - 1) + 1) ELSE weight / (2 * (r - step) + 1) END AS q FROM
+  (SELECT *, <each:1;abs(diff)> AS step FROM {name}_d WHERE diff <> 0) t WHERE diff > 0 OR step <= r),
+{name}_n AS (SELECT *, row_number() OVER (PARTITION BY {group + ',' if group else ''} diff ORDER BY q, {order}, step) AS nth FROM {name}_q),
+{name}_m AS (SELECT cell, CAST(sum(CASE WHEN diff > 0 THEN 1 ELSE -1 END) AS BIGINT) AS moved FROM {name}_n WHERE nth <= abs(diff) GROUP BY cell),
 {name} AS (SELECT d.*, d.r + coalesce(m.moved, 0) AS seats FROM {name}_d d LEFT JOIN {name}_m m ON d.cell = m.cell)"""
 
 
@@ -51,9 +51,9 @@ s1 AS (SELECT nil, src, n, k, CASE (k - 1) % {len(weights)} {cycle} END AS w FRO
 s2 AS (SELECT *, {most} * n AS cap, CAST(sum(w) OVER () AS BIGINT) AS w_all, CAST(sum(n) OVER () AS BIGINT) AS n_all,
   CAST(coalesce(sum({most} * n) OVER before, 0) AS BIGINT) AS cap_before, CAST(coalesce(sum(w) OVER before, 0) AS BIGINT) AS w_before
   FROM s1 WINDOW before AS (ORDER BY CAST(n AS DOUBLE) / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT *, CAST(w AS DOUBLE) * (n_all - cap_before) >= CAST(cap AS DOUBLE) * (w_all - w_before) AS full FROM s2),
-s4 AS (SELECT *, n_all - CAST(sum(CASE WHEN full THEN cap ELSE 0 END) OVER () AS BIGINT) AS n_open, w_all - CAST(sum(CASE WHEN full THEN w ELSE 0 END) OVER () AS BIGINT) AS w_open FROM s3),
-s5 AS (SELECT nil, src, k, n, CASE WHEN full THEN CAST(cap AS DOUBLE) ELSE CAST(w AS DOUBLE) * n_open / w_open END AS target FROM s4),
+s3 AS (SELECT *, CAST(w AS DOUBLE) * (n_all - cap_before) >= CAST(cap AS DOUBLE) * (w_all - w_before) AS capped FROM s2),
+s4 AS (SELECT *, n_all - CAST(sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS BIGINT) AS n_open, w_all - CAST(sum(CASE WHEN capped THEN w ELSE 0 END) OVER () AS BIGINT) AS w_open FROM s3),
+s5 AS (SELECT nil, src, k, n, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(w AS DOUBLE) * n_open / w_open END AS target FROM s4),
 dealt AS (SELECT doc_id, source, nil, src, size, h, <div:h * (<div:docs + {shard_docs - 1};{shard_docs}>);4294967296> AS shard, words FROM z, total),
 line AS (SELECT *, CAST(sum(size) OVER (PARTITION BY nil, src, shard ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS hi FROM dealt),
 c0 AS (SELECT nil, src, shard, CAST(sum(size) AS BIGINT) AS line_words, least({block_words}, greatest(1, <div:max(words);20000>)) AS block FROM dealt GROUP BY nil, src, shard),
