@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, tokenbin
+from . import decontaminate, mixing, quality_rules, simhash, tokenbin
 from .common import documents, shared_dir
 
 
@@ -24,6 +24,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(spark, path, digest=True)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).drop("n_lines", "first_failed")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), width=10)
     ids = F.array_join("item_ids", ",")
@@ -36,6 +40,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Names and queries, in the order of the operators.
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op6_token_output": op6_token_output,
     "op7_source_mixing": op7_source_mixing,
@@ -49,6 +54,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality_rules": quality_rules.SQL,
         "op3_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
         "op7_source_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.oracle()}) t",
     }
