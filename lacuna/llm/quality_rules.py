@@ -36,7 +36,8 @@ def _without(characters: str, text: str = "text") -> str:
 RULES = (
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 16 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
+    Rule("stutter", "10 * n_stutter > 3 * n_words"),
     Rule("capitals", "2 * (length(text) - " + _without("ABCDEFGHIJKLMNOPQRSTUVWXYZ") + ") > word_chars"),
     Rule("digits", "2 * (length(text) - " + _without("0123456789") + ") > word_chars"),
 )
@@ -70,10 +71,10 @@ def repeat_words(words: Column, width: int = 8) -> Column:
 
 
 def counters(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words as longs; only these columns stay."""
+    """docs(doc_id, text) with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_stutter (words equal to the one before) as longs; only these columns stay."""
     text = F.coalesce("text", F.lit(""))
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    by_word = let(words, lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r")))
+    by_word = let(words, lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r"), F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).alias("s")))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     by_line = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     # inline() evaluates both structs once, before their fields are read
@@ -82,7 +83,7 @@ def counters(docs: DataFrame) -> DataFrame:
     length = F.length("text")
     return rows.select(
         "doc_id", "text", long(F.col("w.n")).alias("n_words"), long(F.length(F.translate("text", SPACE, ""))).alias("word_chars"),
-        long(length - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"), long(F.col("l.n")).alias("n_lines"), long(F.col("l.d")).alias("n_dup_lines"), long(F.col("w.r")).alias("n_repeat_words"),
+        long(length - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"), long(F.col("l.n")).alias("n_lines"), long(F.col("l.d")).alias("n_dup_lines"), long(F.col("w.r")).alias("n_repeat_words"), long(F.col("w.s")).alias("n_stutter"),
     )
 
 
@@ -125,11 +126,12 @@ win AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT d
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
 l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+st AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, w, unnest(range(2, len(w) + 1)) AS i FROM d) WHERE w[i] = w[i - 1] GROUP BY doc_id),
 c AS (SELECT doc_id, text, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  coalesce(l.n, 0) AS n_lines, coalesce(l.dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+  coalesce(l.n, 0) AS n_lines, coalesce(l.dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(st.n, 0) AS n_stutter FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN st USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 10 * n_stutter > 3 * n_words
     OR 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > word_chars OR 2 * length(regexp_replace(text, '[^0-9]', '', 'g')) > word_chars) AS kept
 FROM b
 """

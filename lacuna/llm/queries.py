@@ -25,7 +25,7 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(documents(spark, sf_dir)).drop("n_lines", "first_failed")
+    return quality_rules.judge(documents(spark, sf_dir)).drop("n_lines", "n_stutter", "first_failed")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
