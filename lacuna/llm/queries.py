@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, simhash, tokenbin
+from . import decontaminate, line_spread, mixing, quality_rules, simhash, tokenbin
 from .common import documents, shared_dir
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(documents(spark, sf_dir), shingle_words=3, max_bits=2)
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -44,6 +48,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op6_token_output": op6_token_output,
     "op7_source_mixing": op7_source_mixing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -57,4 +62,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality_rules.SQL,
         "op3_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
         "op7_source_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.oracle()}) t",
+        "op9_line_dedup": line_spread.SQL,
     }
