@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_spread, mixing, quality_rules, simhash, tokenbin
+from . import decontaminate, importance, line_spread, mixing, quality_rules, simhash, tokenbin
 from .common import documents, shared_dir
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key", "kept")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op6_token_output": op6_token_output,
     "op7_source_mixing": op7_source_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

@@ -3,7 +3,7 @@
 Format. `ranks` has one row per id that occurs: (id, rank), rank 0 being the most frequent over all documents, ties by id. `blocks` has rows
 (shard, block, start, doc_ids, lengths, n, control, data); shards, then blocks, follow ascending doc_id. A block holds the ids of whole documents,
 one rank after another: its little-endian bytes without leading zero bytes (1 to 4 of them) are appended to `data`, and its
-number of bytes less one fills two bits of `control`, four ranks to a byte, lowest bits first. `start` counts the ids of the shard before the block.
+number of bytes less one fills two bits of `control`, four ranks to a byte, lowest bits first; each document begins a new control byte. `start` counts the ids of the shard before the block.
 Both are Parquet, so that any store Spark reads and its commit protocol will do.
 """
 
@@ -16,10 +16,11 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, slices, text_bytes, word_spans
+from .common import LOWER, NOT_SPACE, materialize, slices, text_bytes, word_spans
 
 #: Distinct units that a worker remembers with their ids; at that many it forgets them all and starts again.
 REMEMBERED = 400_000
@@ -115,11 +116,12 @@ class Encoder:
             self._learn(fresh)
         known = self.known
         entry = np.fromiter((known[w] for w in words), np.int64, len(words))
-        at = np.array(self.at, np.int64)
-        index = entry[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        count = at[index + 1] - at[index]
-        total = np.concatenate(([0], np.cumsum(count)))
-        ids = self.flat[np.repeat(at[index] - total[:-1], count) + np.arange(total[-1])]
+        at = np.array(self.at, np.int32)
+        first, size = at[entry], at[entry + 1] - at[entry]
+        index = coded.indices.to_numpy() if len(words) else np.zeros(0, np.int32)
+        count = size[index]
+        total = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+        ids = self.flat[np.repeat((first[index] - total[:-1]).astype(np.int32), count) + np.arange(total[-1], dtype=np.int32)]
         return ids, np.bincount(of, weights=count, minlength=len(texts)).astype(np.int64)
 
 
@@ -132,48 +134,74 @@ def _with_end(ids: np.ndarray, count: np.ndarray, end_id: int) -> tuple[np.ndarr
     return np.insert(ids, np.cumsum(count), end_id), count + 1
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
+RAW = "doc_ids array<long>, lengths array<long>, ids binary"
+CODED = "shard int, doc_id long, n long, control binary, data binary"
+
+
+def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """A row per slice of texts: its ids by byte planes, squeezed."""
+    squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for part in slices(batch):
             ids, count = _with_end(*encoder(path).encode(part.column("text")), end_id)
-            found = np.bincount(ids, minlength=len(total))
+            planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            longs = pa.list_(pa.int64())
+            yield pa.record_batch({"doc_ids": pa.array([part.column("doc_id").to_pylist()], longs), "lengths": pa.array([count], longs), "ids": pa.array([squeeze.compress(planes.tobytes())], pa.binary())})
+
+
+def _planes(squeezed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(squeezed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1, np.int64)
+    for batch in batches:
+        for squeezed in batch.column("ids"):
+            found = np.bincount(_planes(squeezed.as_py()), minlength=len(total))
             found[: len(total)] += total
             total = found
     ids = np.flatnonzero(total)
     yield pa.record_batch({"id": pa.array(ids.astype(np.int32)), "n": pa.array(total[ids])})
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of a run of ranks."""
-    r = ranks.astype("<u4")
-    size = (r >= 1 << 8).astype(np.uint8) + (r >= 1 << 16) + (r >= 1 << 24)
-    padded = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    padded[: len(r)] = size
-    quads = padded.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    return control.astype(np.uint8).tobytes(), r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= size[:, None]].tobytes()
+def _quads(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Control bytes of each document, and the place of each rank among all two-bit codes."""
+    quads = -(-lengths // 4)
+    first = 4 * (np.cumsum(quads) - quads)
+    return quads, np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n ranks of pack()."""
-    size = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    out = np.zeros((n, 4), np.uint8)
+def pack(ranks: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """control and data of the ranks of documents of these lengths, and where each document's part of them ends."""
+    r = ranks.astype("<u4")
+    size = (r >= 1 << 8).astype(np.uint8) + (r >= 1 << 16) + (r >= 1 << 24)
+    quads, place = _quads(lengths)
+    codes = np.zeros((int(quads.sum()), 4), np.uint8)
+    codes.ravel()[place] = size
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    ends = np.cumsum(np.append(0, size.astype(np.int64) + 1))[np.cumsum(lengths)]
+    return control.astype(np.uint8).tobytes(), r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= size[:, None]].tobytes(), np.cumsum(quads), ends
+
+
+def unpack(control: bytes, data: bytes, lengths: np.ndarray) -> np.ndarray:
+    """The ranks of pack()."""
+    size = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[_quads(lengths)[1]]
+    out = np.zeros((len(size), 4), np.uint8)
     out[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
     return out.view("<u4").ravel()
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, rank_of: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row per document: its shard and its ranks, each packed alone."""
+def _encode(batches: Iterator[pa.RecordBatch], rank_of: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row per document: its shard and its packed ranks."""
     for batch in batches:
-        for part in slices(batch):
-            ids, count = _with_end(*encoder(path).encode(part.column("text")), end_id)
-            ranks = rank_of[ids]
-            ends = np.cumsum(count)
-            packed = [pack(ranks[e - c : e]) for c, e in zip(count.tolist(), ends.tolist(), strict=True)]
-            doc = part.column("doc_id")
+        for row in batch.to_pylist():
+            lengths = np.array(row["lengths"], np.int64)
+            control, data, c, d = pack(rank_of[_planes(row["ids"])], lengths)
+            doc = pa.array(row["doc_ids"], pa.int64())
             shard = np.searchsorted(bounds, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), "left")
-            yield pa.record_batch({"shard": pa.array(shard.astype(np.int32)), "doc_id": doc, "n": pa.array(count), "control": pa.array([c for c, _ in packed], pa.binary()), "data": pa.array([d for _, d in packed], pa.binary())})
+            parts = [pa.array([x[a:b] for a, b in zip([0, *e[:-1].tolist()], e.tolist(), strict=True)], pa.binary()) for x, e in ((control, c), (data, d))]
+            yield pa.record_batch([pa.array(shard.astype(np.int32)), doc, pa.array(lengths), *parts], names=["shard", "doc_id", "n", "control", "data"])
 
 
 BLOCKS = "shard int, block int, start long, doc_ids array<long>, lengths array<long>, n long, control binary, data binary"
@@ -185,9 +213,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def out() -> pa.RecordBatch:
-        ranks = np.concatenate([unpack(c, d, n) for _, n, c, d in held])
-        control, data = pack(ranks)
-        row = [[shard], [block], [start], [[x[0] for x in held]], [[x[1] for x in held]], [len(ranks)], [control], [data]]
+        row = [[shard], [block], [start], [[x[0] for x in held]], [[x[1] for x in held]], [size], [b"".join(x[2] for x in held)], [b"".join(x[3] for x in held)]]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
         return pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -209,12 +235,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Writes the ids of docs(doc_id, text), `end_id` after each document, below path.
 
     A null or empty text has the end id only. Rows with the same doc_id follow each other, shorter ones first; rows without doc_id come first of all. Other columns are ignored.
-    The ids are counted over all documents, the counts (one per id of the vocabulary) are ranked, and a second pass encodes. Shards are cut at quantiles of doc_id so that each
+    The texts are tokenized once, into a table of the shared folder. Its ids are counted over all documents, the counts (one per id of the vocabulary) are ranked, and a second pass encodes. Shards are cut at quantiles of doc_id so that each
     has about `shard_ids` ids; only packed ids are shuffled.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = rows.mapInArrow(partial(_count, path=tokenizer_path, end_id=end_id), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()  # at most one row per id of the vocabulary
+    raw = materialize(rows.mapInArrow(partial(_tokenize, path=tokenizer_path, end_id=end_id), RAW), "ids")
+    found = raw.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row per id of the vocabulary
     found = found.sort_values(["n", "id"], ascending=[False, True])
     ids = found["id"].to_numpy(np.int64)
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
@@ -222,9 +248,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     shards = max(1, -(-int(found["n"].sum()) // shard_ids))
     bounds = np.unique(rows.stat.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards)) if shards > 1 else []
-    ranks = [(int(i), int(rank_of[i])) for i in ids]
-    spark.createDataFrame(ranks, "id int, rank int").coalesce(1).write.parquet(f"{path}/ranks")
-    coded = rows.mapInArrow(partial(_encode, path=tokenizer_path, end_id=end_id, rank_of=rank_of, bounds=np.asarray(bounds, np.float64)), "shard int, doc_id long, n long, control binary, data binary")
+    spark.createDataFrame([(int(i), int(rank_of[i])) for i in ids], "id int, rank int").coalesce(1).write.parquet(f"{path}/ranks")
+    coded = raw.mapInArrow(partial(_encode, rank_of=rank_of, bounds=np.asarray(bounds, np.float64)), CODED)
     placed = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", "control", "data")
     placed.mapInArrow(_blocks, BLOCKS).write.parquet(f"{path}/blocks")
 
@@ -232,7 +257,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 def _decode(batches: Iterator[pa.RecordBatch], id_of: np.ndarray, digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = id_of[unpack(row["control"], row["data"], row["n"])]
+            ids = id_of[unpack(row["control"], row["data"], np.array(row["lengths"], np.int64))]
             ends = np.cumsum(row["lengths"])
             starts = ends - row["lengths"]
             if digest:

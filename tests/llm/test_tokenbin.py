@@ -53,7 +53,10 @@ def test_forgetting_and_random_texts(monkeypatch):
 def test_pack_round_trip():
     x = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 7, 9], np.uint32)
     for n in range(len(x) + 1):
-        assert tokenbin.unpack(*tokenbin.pack(x[:n]), n).tolist() == x[:n].tolist()
+        for lengths in ([n], [n // 2, 0, n - n // 2], [1] * n):
+            lengths = np.array(lengths, np.int64)
+            control, data, _, _ = tokenbin.pack(x[:n], lengths)
+            assert tokenbin.unpack(control, data, lengths).tolist() == x[:n].tolist()
 
 
 def test_file_keeps_order_ties_and_nulls(spark, tmp_path, monkeypatch):
