@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, line_spread, mixing, quality_rules, simhash, tokenbin
+from . import decontaminate, importance, line_spread, mixing, quality_rules, simhash, tokenbin, toxicity
 from .common import documents, shared_dir
 
 
@@ -24,6 +24,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _third(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels").where(~_third()))
+    return toxicity.score(docs, model).select("doc_id", _third().alias("held_out"), "score", "predicted")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +60,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op6_token_output": op6_token_output,
     "op7_source_mixing": op7_source_mixing,
     "op8_quality_classifier": op8_quality_classifier,
