@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, line_spread, mixing, quality_rules, simhash, tokenbin, toxicity
+from . import decontaminate, importance, line_spread, mixing, quality_rules, simhash, token_counts, tokenbin, toxicity
 from .common import documents, shared_dir
 
 
@@ -34,6 +34,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _third().alias("held_out"), "score", "predicted")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    automaton = token_counts.Automaton(token_counts.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return token_counts.count_tokens(documents(spark, sf_dir), automaton)
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +68,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_token_counts": op5_token_counts,
     "op6_token_output": op6_token_output,
     "op7_source_mixing": op7_source_mixing,
     "op8_quality_classifier": op8_quality_classifier,
