@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, line_spread, mixing, quality_rules, simhash, token_counts, tokenbin, toxicity
+from . import decontaminate, importance, line_spread, mixing, quality_rules, repeats, simhash, token_counts, tokenbin, toxicity
 from .common import documents, shared_dir
 
 
@@ -53,6 +53,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).drop("n_lines", "n_stutter", "first_failed")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(documents(spark, sf_dir), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), width=10)
     ids = F.array_join("item_ids", ",")
@@ -66,6 +71,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Names and queries, in the order of the operators.
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
