@@ -170,12 +170,23 @@ def _linked(place: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarra
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
 
 
-def _compare(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by place to star edges (u, v), one star for each set of linked fingerprints of an anchor. A group with too many
+def _nearest(fp: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each u the linked v that is closest."""
+    order = np.lexsort((fp[v], np.bitwise_count(fp[u] ^ fp[v]), u))
+    first = order[runs(u[order])[:-1]]
+    return u[first], v[first]
+
+
+def _compare(batches: Iterator[pa.RecordBatch], max_bits: int, nearest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by place to star edges (u, v), one star for each set of linked fingerprints of an anchor, or with `nearest` from each
+    fingerprint to the closest home that it is linked to. A group with too many
     pairs goes through as rows (fp, null), without being held, and is resolved by hot_edges."""
 
     def stars(place: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         u, v = _linked(place, fp, max_bits)
+        if nearest:
+            u, v = _nearest(fp, u, v)
+            return edge_batch(fp[u], fp[v])
         root = local_components(len(fp), u, v)
         mine = np.flatnonzero(root != np.arange(len(fp)))
         return edge_batch(fp[mine], fp[root[mine]])
@@ -235,12 +246,12 @@ def hot_edges(hot: DataFrame, max_bits: int) -> DataFrame:
     return met.join(least, "point").where("u <> v").select("u", "v").distinct()
 
 
-def link_edges(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """fps(fp), distinct, to edges (u, v) whose connected components are those of all pairs within max_bits bits."""
+def link_edges(fps: DataFrame, max_bits: int = 2, nearest: bool = False) -> DataFrame:
+    """fps(fp), distinct, to edges (u, v) whose connected components are those of all pairs within max_bits bits; with `nearest`, the closest pairs are among them."""
     spread = fps.mapInArrow(partial(_replicate, max_bits=max_bits), "place long, fp long")
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = spread.repartition(n, F.shiftright("place", 1)).sortWithinPartitions("place")
-    found = materialize(ordered.mapInArrow(partial(_compare, max_bits=max_bits), "u long, v long"), "links")
+    found = materialize(ordered.mapInArrow(partial(_compare, max_bits=max_bits, nearest=nearest), "u long, v long"), "links")
     edges = found.where("v is not null")
     hot = found.where("v is null")
     if hot.isEmpty():
