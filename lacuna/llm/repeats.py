@@ -1,6 +1,6 @@
 """Removal of long byte strings that occur earlier in the corpus, with a run-length compressed index.
 
-1. Every window of `length` bytes belongs to its minimizer, the leftmost smallest hash of the 24-byte strings in it. Neighbouring windows with one minimizer make a piece. Equal windows have equal minimizers, so
+1. Every window of `length` bytes belongs to its minimizer, the leftmost smallest hash of the 32-byte strings in it. Neighbouring windows with one minimizer make a piece. Equal windows have equal minimizers, so
    equal windows meet if pieces are dealt by minimizer. Of equal pieces all but the earliest are removed, first among the texts that a worker holds, so that few copies travel.
 2. Where a minimizer is left with pieces of different content, these are fetched and indexed: a Burrows-Wheeler transform compressed to its runs, with text positions
    sampled at the ends of runs. Later pieces are streamed backwards over an index of earlier ones, which gives matching statistics (for each place the longest match, and where), and windows that start a match of
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import Hasher, materialize, mix, runs, slices, text_bytes
 
-GRAM = 24
+GRAM = 32
 #: Different pieces of one minimizer, from where on its windows are dealt singly.
-CROWD = 256
+CROWD = 32
+#: Parts that such a minimizer's pieces are dealt to, each of which sets aside its own repeated windows.
+SALTS = 16
 #: Bytes of pieces indexed together.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 4 << 20
 _TIE_BITS, _START_BITS, _COUNT_BITS = 24, 31, 8
 
 
@@ -33,7 +35,7 @@ def _at(tie: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def minimizers(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each 24-byte string of raw, and for each start of `width` of them in a row the position of the leftmost smallest. The end of raw is padded."""
+    """Hash of each 32-byte string of raw, and for each start of `width` of them in a row the position of the leftmost smallest. The end of raw is padded."""
     n = len(raw)
     padded = np.zeros(n + GRAM + 8, np.uint8)
     padded[:n] = raw
@@ -327,24 +329,41 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Each window of each piece by two hashes: (h1, h2, d1, at), with 1 for its number of windows in `at`."""
+    """The windows of pieces (deal, d1, at, piece) by two hashes: (h1, h2, d1, at, n null) for the earliest of equal ones at hand, with 1 for its number of windows in `at`; the others are
+    removed: stretches (d1, at, n)."""
     hasher = Hasher()
     for batch in batches:
-        pieces = batch.column("piece").cast(pa.large_binary())
-        if not len(pieces):
-            continue
-        bounds = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, pieces.offset * 8)
-        data = np.frombuffer(pieces.buffers()[2], np.uint8)[: bounds[-1]]
-        at = batch.column("at").to_numpy()
-        count = at & 0xFF
-        of = np.repeat(np.arange(len(at)), count)
-        k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        start = bounds[of] + k
-        h1 = hasher.spans(hasher.prefix(data), start, start + length)
-        turned = hasher.prefix(data[::-1])
-        h2 = hasher.spans(turned, len(data) - start - length, len(data) - start)
-        places = (at[of] & ~np.int64(0xFF)) + (k << _COUNT_BITS) + 1
-        yield pa.record_batch({"h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "d1": batch.column("d1").take(pa.array(of)), "at": pa.array(places)})
+        for k in range(0, batch.num_rows, 2048):
+            part = batch.slice(k, 2048)
+            pieces = part.column("piece").cast(pa.large_binary())
+            bounds = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, pieces.offset * 8)
+            data = np.frombuffer(pieces.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+            at = part.column("at").to_numpy()
+            count = at & 0xFF
+            of = np.repeat(np.arange(len(at)), count)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            start = bounds[of] - bounds[0] + step
+            h1 = hasher.spans(hasher.prefix(data), start, start + length)
+            h2 = hasher.spans(hasher.prefix(data[::-1]), len(data) - start - length, len(data) - start)
+            places = (at[of] & ~np.int64(0xFF)) + (step << _COUNT_BITS) + 1
+            d1 = part.column("d1").to_numpy()[of]
+            order = np.lexsort((places, d1, h2, h1))
+            a, b = h1[order], h2[order]
+            lead = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            first = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+            gone = np.zeros(len(order), bool)
+            gone[order] = ~lead & ~((d1[order] == d1[first]) & (places[order] == places[first]))
+            stay = order[lead]
+            g = np.flatnonzero(gone)
+            fresh = np.append(True, (of[g][1:] != of[g][:-1]) | (step[g][1:] != step[g][:-1] + 1)) if len(g) else np.zeros(0, bool)
+            heads = np.flatnonzero(fresh)
+            size = np.diff(np.append(heads, len(g))) + length - 1
+            empty = pa.nulls(len(heads), pa.int64())
+            yield pa.record_batch({
+                "h1": pa.concat_arrays([pa.array(h1[stay].view(np.int64)), empty]), "h2": pa.concat_arrays([pa.array(h2[stay].view(np.int64)), empty]),
+                "d1": pa.array(np.append(d1[stay], d1[g[heads]])), "at": pa.array(np.append(places[stay], places[g[heads]])),
+                "n": pa.concat_arrays([pa.nulls(len(stay), pa.int64()), pa.array(size.astype(np.int64))]),
+            })
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,10 +400,10 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     n_spans counts maximal removed runs; kept holds the bytes left, which may cut a character. A null text is empty; documents without doc_id come before all others. Rows that repeat a doc_id
     with other texts are documents in an arbitrary but fixed order; rows that repeat doc_id and text are one document and each get its result. Texts of less than `length` bytes stay whole. An empty table
-    gives no rows. Other columns are ignored. `length` is from 48 to 178.
+    gives no rows. Other columns are ignored. `length` is from 40 to 286.
     """
-    if not 2 * GRAM <= length <= 255 - 77:
-        raise ValueError("length must be from 48 to 178")
+    if not GRAM + 8 <= length <= GRAM + 254:
+        raise ValueError("length must be from 40 to 286")
     tie = F.xxhash64("text").bitwiseAND(F.lit((1 << _TIE_BITS) - 1))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d1"), tie.alias("tie"), "text")
@@ -403,11 +422,12 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         few = cut
     else:
         few = cut.join(crowds, "deal", "left_anti")
-        single = cut.join(crowds, "deal", "left_semi").mapInArrow(partial(_windows, length=length), "h1 long, h2 long, d1 long, at long")
-        single = materialize(single, "windows")
-        lead = single.groupBy("h1", "h2").agg(F.min(F.struct("d1", "at")).alias("lead"))
-        late = single.join(lead, ["h1", "h2"]).where(F.struct("d1", "at") > F.col("lead")).select("d1", "at", F.lit(length).cast("long").alias("n"))
-        gone = gone.unionByName(late)
+        salted = cut.join(crowds, "deal", "left_semi").repartition(n, "deal", F.pmod(F.xxhash64("d1"), F.lit(SALTS)))
+        single = salted.sortWithinPartitions("deal", "d1", "at").mapInArrow(partial(_windows, length=length), "h1 long, h2 long, d1 long, at long, n long")
+        alone = single.where("n IS NULL").select("h1", "h2", "d1", "at")
+        lead = alone.groupBy("h1", "h2").agg(F.min(F.struct("d1", "at")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "lead")
+        late = alone.join(lead, ["h1", "h2"]).where(F.struct("d1", "at") > F.col("lead")).select("d1", "at", F.lit(length).cast("long").alias("n"))
+        gone = gone.unionByName(late).unionByName(single.where("n IS NOT NULL").select("d1", "at", "n"))
     matched = few.repartition(n, "deal").sortWithinPartitions("deal", "d1", "at").mapInArrow(partial(_match, length=length), "d1 long, at long, n long")
     spans = gone.unionByName(matched).groupBy("d1", tie_of).agg(F.collect_list(F.struct(_start(F.col("at")), "n")).alias("spans"))
     joined = by_doc.join(spans.repartition(n, "d1", "tie"), ["d1", "tie"], "left")

@@ -47,7 +47,7 @@ def random_rows(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("crowd", [256, 3])
+@pytest.mark.parametrize("crowd", [32, 3])
 def test_random_repeats_equal_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(R, "CROWD", crowd)
     rows = random_rows(crowd)
