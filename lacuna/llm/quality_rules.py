@@ -87,12 +87,12 @@ def counters(docs: DataFrame) -> DataFrame:
     )
 
 
-def order_rules(counted: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejections per second on a sample of about `sample` rows, all rows if there are fewer."""
-    n = counted.select("doc_id").count()
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE) -> list[Rule]:
+    """The rules by rejections per second on a sample of about `sample` rows of docs, all rows if there are fewer. Only the sample is counted on."""
+    n = docs.select(F.lit(1)).count()
     if not n:
         return list(rules)
-    part = materialize(counted.sample(min(1.0, sample / n), seed=11), "sample")
+    part = materialize(counters(docs.select("doc_id", "text").sample(min(1.0, sample / n), seed=11)), "sample")
     part.agg(F.count("text")).first()
     gains = []
     for rule in rules:
@@ -117,7 +117,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: str = "n_words
     A null or empty text has no words, so base_failed holds. Repeated rows are judged alike and each kept as a row; a null doc_id stays null. An empty table gives no rows. Other columns are ignored.
     """
     counted = counters(docs)
-    return apply_rules(counted, base, order_rules(counted, rules)).drop("text")
+    return apply_rules(counted, base, order_rules(docs, rules)).drop("text")
 
 
 SQL = r"""

@@ -31,7 +31,8 @@ def test_counters_on_edges(spark):
 
 
 def test_order_never_changes_the_verdict(spark, sf):
-    counted = Q.counters(spark.read.parquet(f"{sf}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counted = Q.counters(docs)
     a, b = (sorted(map(tuple, Q.apply_rules(counted, "n_words < 20", rules).select("doc_id", "kept").collect())) for rules in (list(Q.RULES), list(Q.RULES)[::-1]))
     assert a == b
-    assert sorted(r.name for r in Q.order_rules(counted, Q.RULES, 50)) == sorted(r.name for r in Q.RULES)
+    assert sorted(r.name for r in Q.order_rules(docs, Q.RULES, 50)) == sorted(r.name for r in Q.RULES)
