@@ -34,15 +34,15 @@ class Profile:
     pll_margin: dict = field(default_factory=lambda: {"OPEN": 1.25, None: 0.5})
 
 
-#: Japanese. The class names are those of the UniDic dictionary.
+#: Japanese. Class names of the UniDic dictionary, and the blocks U+3040-309F, U+30A0-30FF and U+4E00-9FAF.
 JA = Profile(
     name="ja",
     terminators="。！？",
     script=r"぀-ゟ゠-ヿ一-龯",
     heads=("動詞", "形容詞"),
     auxiliary="助動詞",
-    corpus_excluded=("助詞", "補助記号", "記号", "空白", "接続詞", "感動詞", "連体詞", "接頭辞", "接尾辞"),
-    vocabulary_excluded=("助詞", "助動詞", "補助記号", "記号", "空白", "接続詞", "感動詞", "連体詞", "接頭辞", "接尾辞"),
+    corpus_excluded=("補助記号", "助詞", "接尾辞", "接頭辞", "感動詞", "フィラー", "その他", "空白", "記号"),
+    vocabulary_excluded=("補助記号", "助詞", "助動詞", "接尾辞", "感動詞", "フィラー", "その他", "空白", "記号", "接頭辞"),
     ignored_characters=("ー",),
 )
 

@@ -67,7 +67,7 @@ def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, NGramLM]:
-    lm = NGramLM(_trigrams(spark, sf_dir))
+    lm = NGramLM(workspace.materialize(_trigrams(spark, sf_dir), "trigrams"))
     return *generate.with_context(_items(spark, sf_dir), P, lm), lm
 
 
@@ -131,9 +131,9 @@ def pll_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _screened(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
     full, _, lm = _context(spark, sf_dir)
-    rows = C.baseline(full, _words(spark, sf_dir)).drop("score")
+    rows = workspace.materialize(C.baseline(full, _words(spark, sf_dir)).drop("score"), "candidates")
     if "trigram" in which:
-        rows = R.by_trigram(rows, full, _trigrams(spark, sf_dir))
+        rows = R.by_trigram(rows, full, lm.trigrams)
     if "dependency" in which:
         rows = R.by_dependency(rows, full, _deps(spark, sf_dir), AdjacentWords(P.content), P)
     if "pll" in which:
