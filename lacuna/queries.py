@@ -15,7 +15,7 @@ from .operators import screening as R
 from .plans import build, evaluate, generate
 from .profiles import LATIN as P
 from .providers import AdjacentWords, NGramLM
-from .sources import workspace
+from .sources import readers, workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return readers.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _sents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,9 @@ def artefact(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def sampled(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first n rows in a total order, for trial runs."""
     return df.orderBy(*order).limit(n)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files give fewer partitions than there are cores, as one small file does; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
