@@ -7,7 +7,10 @@ round all its blocks as often as they can, and the rest to blocks that a seeded
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -121,10 +124,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     return docs.sparkSession.sql(mix_sql("{sizes}", SPARK, weights, most, seed, shard_docs, block_words), sizes=sizes)
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs with each document as often as the mix takes it, to the nearest whole number; a size 0 document once. doc_id must tell documents apart."""
-    times = mixed.select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    return docs.join(times.where("_times > 0"), docs.doc_id.eqNullSafe(times.doc_id)).drop(times.doc_id).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times", "_copy")
+def _extra(cells: pa.Table) -> pa.Table:
+    """Of each cell of a source, documents of one size, how many get one copy more: from the largest size down, what brings the words taken closest to the target's share of those so far."""
+    cells = cells.sort_by([("size", "descending"), ("shard", "ascending")])
+    size, n = cells.column("size").to_pylist(), cells.column("n").to_pylist()
+    share = max(cells.column("target")[0].as_py() / cells.column("source_size")[0].as_py() - cells.column("rounds")[0].as_py(), 0.0) if n else 0.0
+    due, out = 0.0, []
+    for s, k in zip(size, n, strict=True):
+        due += share * s * k
+        out.append(min(max(math.floor(due / s + 0.5), 0), k))
+        due -= s * out[-1]
+    return cells.select(["source", "size", "shard", "rounds"]).append_column("extra", pa.array(out, pa.int64()))
+
+
+def apply_mix(docs: DataFrame, mixed: DataFrame, seed: int = 7, shard_docs: int = 16384) -> DataFrame:
+    """docs with whole documents copied so that the words of each source's copies sum to its target; a size 0 document once. doc_id must tell documents apart.
+
+    All documents of a source get floor(target / source_size) copies, and some one more: of each size as many as keep the words on target, by a seeded hash. Cells of a source and a size are cut into shards.
+    """
+    rounds = F.floor(F.col("target") / F.col("source_size"))
+    shards = F.lit(max(mixed.count() // shard_docs, 1))
+    full = mixed.where("size > 0").select("doc_id", "source", "size", "source_size", "target", rounds.alias("rounds"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    full = materialize(full.withColumn("shard", F.pmod("h", shards)), "mixed")
+    cells = full.groupBy("source", "size", "shard", "rounds", "source_size", "target").agg(F.count("*").alias("n"))
+    extra = cells.groupBy("source").applyInArrow(_extra, "source string, size long, shard long, rounds long, extra long")
+    extra = extra.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("shard").alias("_shard"), "extra")
+    ranked = full.withColumn("nth", F.row_number().over(Window.partitionBy("source", "size", "shard").orderBy("h", F.col("doc_id").asc_nulls_first())))
+    placed = ranked.join(extra, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("shard") == F.col("_shard")))
+    times = placed.select("doc_id", (F.col("rounds") + (F.col("nth") <= F.col("extra")).cast("int")).cast("int").alias("_times"))
+    times = times.unionByName(mixed.where("size = 0").select("doc_id", F.lit(1).alias("_times"))).where("_times > 0")
+    return docs.join(times, docs.doc_id.eqNullSafe(times.doc_id)).drop(times.doc_id).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times", "_copy")
 
 
 def oracle() -> str:

@@ -56,3 +56,22 @@ def test_edges(spark):
     assert mixing.mix(df.limit(0)).collect() == []
     kept = mixing.apply_mix(df, mixing.mix(df)).groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in kept} >= {2, 3, 6}
+
+
+def test_whole_copies_sum_to_the_targets(spark):
+    long = lambda i: 700 + 37 * i % 900 if i % 5 == 0 else 20 + 13 * i % 300
+    rows = [(i, "w " * long(i), "a" if i % 3 == 0 else "b" if i % 30 == 1 else "c" if i % 30 == 2 else None if i % 30 == 4 else "d") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mixed = mixing.mix(df, weights=(1, 20, 3, 12)).cache()
+    target = {r.source: (r.target, r.source_size) for r in mixed.collect()}
+    assert min(t / n for t, n in target.values()) < 0.3 and max(t / n for t, n in target.values()) == 3
+    got, copies, longest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in mixing.apply_mix(df, mixed).collect():
+        n = len(r.text.split())
+        got[r.source] += n
+        copies[r.doc_id] += 1
+        longest[r.source] = max(longest[r.source], n)
+    assert max(copies.values()) <= 3
+    for s, (t, _) in target.items():
+        assert abs(got[s] - t) <= 0.01 * t, (s, got[s], t)
+    assert longest["a"] > 640
