@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import corpus, counts
+from ..operators import corpus, counts, vectors
 from ..profiles import Profile
 from ..providers import AdjacentWords, WordTokenizer
 from ..sources import readers, sinks
@@ -19,6 +20,7 @@ class Artefacts:
     trigrams: DataFrame
     dependencies: DataFrame
     n_sentences: int
+    vectors: DataFrame | None = None
 
 
 def tagged(articles: DataFrame, profile: Profile, tokenizer=None, key: str = "doc_id") -> DataFrame:
@@ -36,8 +38,19 @@ def build(articles: DataFrame, folder: str, profile: Profile, tokenizer=None, pa
     sinks.artefact(counts.frequent(counts.pairs(words), profile.min_pair), folder, "cooccurrence", rebuild)
     sinks.artefact(counts.frequent(counts.trigrams(words), profile.min_trigram), folder, "trigrams", rebuild)
     sinks.artefact(counts.frequent(counts.dependencies(parser.edges(toks), profile), profile.min_dependency), folder, "dependencies", rebuild)
+    if rebuild or not readers.present(spark, folder, "vectors"):
+        sinks.artefact(_vectors(words), folder, "vectors", rebuild)
+
+
+def _vectors(words: DataFrame) -> DataFrame:
+    """Vectors of the corpus; an empty table where no word is frequent enough for a model."""
+    often = words.select(F.explode("tokens").alias("word")).groupBy("word").count().where(F.col("count") >= vectors.LEAST)
+    if often.isEmpty():
+        return words.sparkSession.createDataFrame([], readers.ARTEFACTS["vectors"])
+    return vectors.vectors(vectors.train(words)).select("word", F.col("vec").cast("array<float>").alias("vec"))
+
 
 
 def load(spark: SparkSession, folder: str, profile: Profile) -> Artefacts:
     n = counts.corpus_rows(spark.read.parquet(f"{folder}/tagged"), profile).count()
-    return Artefacts(*(readers.artefact(spark, folder, t) for t in ("vocabulary", "cooccurrence", "trigrams", "dependencies")), n)
+    return Artefacts(*(readers.artefact(spark, folder, t) for t in ("vocabulary", "cooccurrence", "trigrams", "dependencies")), n, readers.artefact(spark, folder, "vectors"))

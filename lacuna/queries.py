@@ -151,7 +151,7 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a = build.load(spark, folder, P)
     items = _items(spark, sf_dir)
     context, _ = generate.with_context(items, P, NGramLM(a.trigrams))
-    return context.select("item_id", "sentence", "target", "context"), generate.generate(items, a, P)
+    return context.select("item_id", "sentence", "target", "context"), generate.generate(items, a, P, n=30)
 
 
 def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,15 @@ def packed_map(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
     return rows.select(*[F.get(F.split("k", r"\|", len(parts)), i).alias(p) for i, p in enumerate(parts)], "value")
 
 
+def present(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether a build wrote that table."""
+    try:
+        spark.read.schema(ARTEFACTS[name]).parquet(f"{folder}/{name}").limit(0).collect()
+        return True
+    except AnalysisException:
+        return False
+
+
 def artefact(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table that a build wrote, or an empty one."""
     try:

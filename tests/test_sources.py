@@ -58,3 +58,16 @@ def test_stream_equals_batch(spark, tmp_path):
     word_counts.run_available(word_counts.stream(spark, str(tmp_path / "in"), "doc_id long, text string", LATIN), "words", str(tmp_path / "checkpoint"))
     want = counts.word_frequencies(counts.vocabulary_rows(build.tagged(spark.read.parquet(str(tmp_path / "in")), LATIN), LATIN))
     assert sorted(map(tuple, spark.table("words").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_vectors_are_built_and_used(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "Some other thing went over there with many people. Many other people went with some thing over there.") for i in range(6)], "doc_id long, text string")
+    folder = str(tmp_path / "artefacts")
+    build.build(docs, folder, LATIN)
+    a = build.load(spark, folder, LATIN)
+    assert a.vectors.count() > 8 and len(a.vectors.first().vec) == 400
+    items = spark.createDataFrame([(1, "Many other ___ went over there", "people"), (2, "no blank", "people")], "item_id long, sentence string, target string")
+    got = generate.generate(items, a, LATIN).where("generator = 'similarity'").collect()
+    assert {r.item_id for r in got} == {1}
+    build.build(docs.limit(0), str(tmp_path / "none"), LATIN)
+    assert build.load(spark, str(tmp_path / "none"), LATIN).vectors.count() == 0
