@@ -163,8 +163,8 @@ def evaluation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w2v_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest words of the six most frequent ones, by a small model of the whole corpus."""
-    model = vectors.train(_corpus(spark, sf_dir), size=16, rounds=1)
+    """The three nearest words of the six most frequent ones, by a model of the whole corpus."""
+    model = vectors.train(_corpus(spark, sf_dir))
     v = vectors.vectors(model)
     common = _corpus(spark, sf_dir).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(6)
     queries = common.select(F.xxhash64("word").alias("item_id"), "word")

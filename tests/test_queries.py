@@ -23,3 +23,18 @@ def test_every_query_has_sql_or_is_known_to_lack_it():
 @pytest.mark.parametrize("name", ["sample_trigrams", "sample_relations", "w2v_neighbours"])
 def test_samples_have_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_w2v_trains_the_full_model(spark, monkeypatch):
+    from lacuna import queries
+
+    seen = []
+
+    def train(corpus, **settings):
+        seen.append(settings)
+        return real(corpus.limit(50), **settings)
+
+    real = queries.vectors.train
+    monkeypatch.setattr(queries.vectors, "train", train)
+    assert QUERIES["w2v_neighbours"](spark, SF).columns == ["query", "rank", "word", "score"]
+    assert not {"size", "rounds"} & set(seen[0])
