@@ -6,9 +6,11 @@ because each keeps or drops all bytes of a non-ASCII character together.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +30,52 @@ LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 0x20, _BYTES).ast
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, meant for lower-cased bytes.
 ALNUM = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is made only where the session names none, as in tests."""
+    """The folder that driver and executors share. One is made only where the session names none, and only where all run on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lacuna-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: later reads don't recompute it, and lost executors don't matter."""
+def scratch_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark).rstrip('/')}/lacuna/{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """df, written once to the shared folder and read from there: later reads don't recompute it, and lost executors don't matter.
+
+    With `free` the driver then collects its garbage, upon which executors drop the shuffle files of what has just been written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lacuna/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a result of materialize() that nothing reads any more."""
+    _delete(df.sparkSession, df._scratch)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has materialized. For its end, after the last result has been read."""
+    _delete(spark, scratch_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -91,29 +120,41 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-class Hasher:
-    """64-bit hashes of byte spans: a polynomial over the whole buffer, differences of its prefix sums, then a mix. The same span gives the same hash anywhere."""
+def blocks(raw: np.ndarray, table: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Stretches of one text of about `most` bytes, none of which ends within a word."""
+    at, n = 0, len(raw)
+    while at < n:
+        to = min(at + most, n)
+        while to < n and table[raw[to]]:
+            inside = table[raw[to : to + 65536]]
+            to += len(inside) if inside.all() else int(inside.argmin())
+        yield at, to
+        at = to
+
+
+def parts_of(batch: pa.RecordBatch, table: np.ndarray, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool, bool]]:
+    """(rows, raw, offsets, first, last) for the slices of a batch. A long text comes as several blocks of its one row, the first and the last of which are marked, so that what is built beside its bytes stays bounded."""
+    for part in slices(batch, column):
+        raw, offsets = text_bytes(part.column(column))
+        if part.num_rows > 1 or len(raw) <= SLICE_BYTES:
+            yield part, raw, offsets, True, True
+            continue
+        for a, b in blocks(raw, table):
+            yield part, raw[a:b], np.array([0, b - a]), a == 0, b == len(raw)
 
-    def __init__(self) -> None:
-        self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
-        if n >= len(self.powers):
-            m = max(n + 1, 2 * len(self.powers), SLICE_BYTES)
-            for name, base in (("powers", _BASE), ("inverses", _INVERSE)):
-                x = np.full(m, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x, dtype=np.uint64))
+def coded_words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words as large_binary, and for each word its number among them and its text."""
+    starts, ends, of = word_spans(raw, offsets, table)
+    bounds = np.concatenate(([0], np.cumsum(ends - starts)))
+    data = np.ascontiguousarray(raw[table[raw]])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy() if len(starts) else np.zeros(0, np.int32), of
 
-    def prefix(self, raw: np.ndarray) -> np.ndarray:
-        self._grow(len(raw))
-        out = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=out[1:])
-        return out
 
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (prefix[ends] - prefix[starts]) * self.inverses[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of BLAKE2b of each of some distinct words."""
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words.to_pylist()]), "<u8").astype(np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

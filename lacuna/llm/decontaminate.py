@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The training texts become index rows, each for the documents of one slice of input: its terms (64-bit hashes, sorted) and for each term the list of its positions. The
+The training texts become index rows, each for the documents of one slice of input: its terms (64 bits of BLAKE2b, sorted) and for each term the list of its positions. The
 rows are stored once in the shared folder. Test windows are found by intersecting lists adjusted by the term's offset in the window, beginning with
 the term that is rarest over the whole index. Test items are taken in blocks of bounded size, so nothing that is sent to the executors grows with either table.
 """
@@ -17,43 +17,56 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Hasher, materialize, runs, slices, text_bytes, word_spans
+from .common import ALNUM, LOWER, coded_words, materialize, parts_of, runs, slices, text_bytes, word_hashes
 
+#: Bytes of words before lower-casing.
+ALNUM_ANY_CASE = ALNUM[LOWER]
 #: Words of test items searched for at once.
 BLOCK_WORDS = 1 << 20
-INDEX = "chunk long, doc_ids array<long>, n_words array<long>, terms binary, counts binary, positions binary"
+INDEX = "chunk long, base long, lengths array<long>, doc_ids array<long>, n_words array<long>, terms binary, counts binary, positions binary"
 
 
-def terms(texts: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+def terms(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of lower-cased texts, and the number of words of each text."""
-    raw, offsets = text_bytes(texts)
-    low = LOWER[raw]
-    starts, ends, of = word_spans(low, offsets, ALNUM)
-    return hasher.spans(hasher.prefix(low), starts, ends), np.bincount(of, minlength=len(texts)).astype(np.int64)
+    words, number, of = coded_words(low, offsets, ALNUM)
+    return word_hashes(words)[number], np.bincount(of, minlength=len(offsets) - 1).astype(np.int64)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher, squeeze = Hasher(), zstandard.ZstdCompressor(level=1)
+def _index(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[pa.RecordBatch]:
+    """A row per slice of texts, several of one chunk for a long text: `base` counts the words before the row's first, and each row repeats the last `overlap` words of the one before; doc_ids and n_words are in the last."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    chunk, base, carried = 0, 0, np.zeros(0, np.uint64)
+    longs = pa.list_(pa.int64())
     for batch in batches:
-        for part in slices(batch):
-            words, n_words = terms(part.column("text"), hasher)
+        for part, raw, offsets, first, last in parts_of(batch, ALNUM_ANY_CASE):
+            words, lengths = terms(LOWER[raw], offsets)
+            if first:
+                chunk, base, carried = uuid.uuid4().int >> 65, 0, words[:0]
+            n_words = lengths
+            if not (first and last):
+                words = np.concatenate((carried, words))
+                lengths = np.array([len(words)])
+                n_words = lengths + base
             order = np.argsort(words, kind="stable")
             bounds = runs(words[order])
             gaps = np.diff(order, prepend=0).astype(np.int32)
             gaps[bounds[:-1]] = order[bounds[:-1]]
             distinct = words[order][bounds[:-1]]
             yield pa.record_batch({
-                "chunk": pa.array([uuid.uuid4().int >> 65]), "doc_ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                "n_words": pa.array([n_words.tolist()], pa.list_(pa.int64())), "terms": pa.array([distinct.tobytes()], pa.binary()),
+                "chunk": pa.array([chunk]), "base": pa.array([base]), "lengths": pa.array([lengths], longs), "doc_ids": pa.array([part.column("doc_id").to_pylist() if last else []], longs),
+                "n_words": pa.array([n_words if last else []], longs), "terms": pa.array([distinct.tobytes()], pa.binary()),
                 "counts": pa.array([squeeze.compress(np.diff(bounds).astype(np.int32).tobytes())], pa.binary()),
                 "positions": pa.array([squeeze.compress(gaps.tobytes())], pa.binary()),
             })
+            if not last:
+                carried = words[len(words) - min(overlap, len(words)) :]
+                base += len(words) - len(carried)
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The positional index of docs(doc_id, text), written to the shared folder."""
+def build_index(docs: DataFrame, overlap: int = 9) -> DataFrame:
+    """The positional index of docs(doc_id, text), written to the shared folder. Windows of up to overlap + 1 words are found across the parts of long texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(_index, INDEX), "postings")
+    return materialize(rows.mapInArrow(partial(_index, overlap=overlap), INDEX), "postings")
 
 
 def _postings(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,24 +97,37 @@ def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> I
 
 
 class Windows:
-    """The windows of one block of items: for each its terms as numbers into a vocabulary, rarest first, with their offsets."""
+    """The windows of one block of items, one after another: their terms as numbers into a vocabulary, with offsets ordered from the rarest term on."""
 
     def __init__(self, item_ids: list, words: list[np.ndarray], width: int) -> None:
         self.vocabulary = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
-        self.item: list = []
-        self.terms: list[np.ndarray] = []
-        for i, w in zip(item_ids, words, strict=True):
-            number = np.searchsorted(self.vocabulary, w)
-            for at in range(max(len(w) - width + 1, 1) if len(w) else 0):
-                self.item.append(i)
-                self.terms.append(number[at : at + width])
-        self.order: list[np.ndarray] = []
+        sizes = np.array([len(w) for w in words], np.int64)
+        count = np.where(sizes > 0, np.maximum(sizes - width + 1, 1), 0)
+        of = np.repeat(np.arange(len(words)), count)
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + (np.cumsum(sizes) - sizes)[of]
+        self.ids, self.item = pa.array(item_ids, pa.int64()), of
+        self.size = np.minimum(sizes, width)[of]
+        number = np.searchsorted(self.vocabulary, np.concatenate([*words, np.zeros(0, np.uint64)]))
+        self._fill(number[np.repeat(at - (np.cumsum(self.size) - self.size), self.size) + np.arange(int(self.size.sum()))])
+
+    def _fill(self, terms: np.ndarray) -> None:
+        self.terms = terms.astype(np.int32)
+        self.bounds = np.concatenate(([0], np.cumsum(self.size)))
 
     def rank(self, frequency: np.ndarray) -> None:
         """Drops windows with a term that the index lacks and orders the terms of the rest."""
-        keep = [k for k, t in enumerate(self.terms) if frequency[t].all()]
-        self.item, self.terms = [self.item[k] for k in keep], [self.terms[k] for k in keep]
-        self.order = [np.argsort(frequency[t], kind="stable") for t in self.terms]
+        keep = self.with_all(frequency > 0)
+        inside = np.zeros(len(self.size), bool)
+        inside[keep] = True
+        terms = self.terms[np.repeat(inside, self.size)]
+        self.item, self.size = self.item[keep], self.size[keep]
+        self._fill(terms)
+        window = np.repeat(np.arange(len(self.size)), self.size)
+        self.order = (np.lexsort((frequency[self.terms], window)) - self.bounds[:-1][window]).astype(np.int16)
+
+    def with_all(self, present: np.ndarray) -> np.ndarray:
+        """The windows all of whose terms are present."""
+        return np.flatnonzero(np.logical_and.reduceat(present[self.terms], self.bounds[:-1])) if len(self.size) else np.zeros(0, np.int64)
 
 
 def _near(sorted_list: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
@@ -117,33 +143,35 @@ def _search(batches: Iterator[pa.RecordBatch], windows: Windows, slop: int) -> I
             if not len(distinct):
                 continue
             at = np.minimum(np.searchsorted(distinct, windows.vocabulary), len(distinct) - 1)
-            present = distinct[at] == windows.vocabulary
-            doc_ends = np.cumsum(row["n_words"])
-            found: list[tuple] = []
-            for item, numbers, order in zip(windows.item, windows.terms, windows.order, strict=True):
-                if not present[numbers].all():
-                    continue
-                first, base = order[0], at[numbers[order[0]]]
-                start = positions[bounds[base] : bounds[base + 1]] - first
+            doc_ends = np.cumsum(row["lengths"])
+            found = []
+            for k in windows.with_all(distinct[at] == windows.vocabulary).tolist():
+                numbers, order = (x[windows.bounds[k] : windows.bounds[k + 1]] for x in (windows.terms, windows.order))
+                base = at[numbers[order[0]]]
+                start = positions[bounds[base] : bounds[base + 1]] - int(order[0])
                 start = start[start >= 0]
-                for o in order[1:]:
+                for o in order[1:].tolist():
                     if not len(start):
                         break
                     a = at[numbers[o]]
                     start = start[_near(positions[bounds[a] : bounds[a + 1]], start + o, slop)]
                 doc = np.searchsorted(doc_ends, start, "right")
                 same = np.searchsorted(doc_ends, start + len(numbers) - 1, "right") == doc
-                found += [(item, d, s - (doc_ends[d] - row["n_words"][d]), len(numbers)) for d, s in zip(doc[same].tolist(), start[same].tolist(), strict=True)]
+                if same.any():
+                    found.append((np.full(int(same.sum()), k), doc[same], start[same]))
             if found:
-                item, doc, start, length = zip(*found, strict=True)
-                yield pa.record_batch({"chunk": pa.array([row["chunk"]] * len(found)), "at": pa.array(doc, pa.int32()), "item_id": pa.array(item, pa.int64()), "start": pa.array(start, pa.int64()), "n": pa.array(length, pa.int64())})
+                k, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
+                begins = doc_ends - row["lengths"]
+                yield pa.record_batch({
+                    "chunk": pa.array(np.full(len(k), row["chunk"])), "at": pa.array(doc.astype(np.int32)), "item_id": windows.ids.take(pa.array(windows.item[k])), "start": pa.array(start - begins[doc] + row["base"]), "n": pa.array(windows.size[k]),
+                })
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
     for batch in batches:
         for part in slices(batch):
-            words, count = terms(part.column("text"), hasher)
+            raw, offsets = text_bytes(part.column("text"))
+            words, count = terms(LOWER[raw], offsets)
             offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
             yield pa.record_batch({"item_id": part.column("item_id"), "words": pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.view(np.int64)))})
 
@@ -173,10 +201,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
 
     A window is `width` consecutive words of an item; an item of fewer words, but not none, is one window. n_hit counts words of the document inside any
     occurrence of any window; item_ids are the items with occurring windows, sorted as strings; spans are the hit stretches (from, to) in words, one for each item and stretch.
-    Null and empty texts have no words: such documents have no hit and such items no window. Rows that repeat a doc_id keep a row each. An
+    Null and empty texts have no words: such documents have no hit and such items no window. An item without item_id hits like others and is in no list. Rows that repeat a doc_id keep a row each. An
     empty benchmark hits nothing; an empty docs gives no rows. Other columns are ignored.
     """
-    index = build_index(docs)
+    index = build_index(docs, width - 1 + 2 * slop)
     found = find_windows(index, benchmark, width, slop)
     ahead = Window.partitionBy("chunk", "at").orderBy("start", "to").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("chunk", "at", "item_id", "start", (F.col("start") + F.col("n")).alias("to")).withColumn("reached", F.max("to").over(ahead))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Hasher, materialize, mix, slices, text_bytes, word_spans
+from .common import NOT_SPACE, coded_words, materialize, parts_of, word_hashes
 
 BUCKETS = 1 << 16
 #: Labelled rows that the target model and the cut are fitted on, at most; which, a hash of doc_id decides.
@@ -30,37 +30,68 @@ SHORT = 32
 BINS = 4096
 
 
-def _recency(raw: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+class _Memory:
+    """What a long text's next block needs of those before: the last bytes, the words so far (hashes, sorted) with their last places, the number of words, and the last classes."""
+
+    def __init__(self) -> None:
+        self.bytes, self.words, self.last, self.n, self.kinds = np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
+
+
+def _recency(raw: np.ndarray, offsets: np.ndarray, memory: _Memory | None) -> tuple[np.ndarray, np.ndarray]:
     """Triples of classes as numbers below 216, and their texts."""
-    starts, ends, of = word_spans(raw, offsets, NOT_SPACE)
-    if not len(starts):
-        return starts, of
-    key = hasher.spans(hasher.prefix(raw), starts, ends) ^ mix(of.astype(np.uint64) + np.uint64(1))
+    words, number, of = coded_words(raw, offsets, NOT_SPACE)
+    key = of * max(len(words), 1) + number
     order = np.argsort(key, kind="stable")
     ago = np.zeros(len(key), np.int64)
     same = key[order][1:] == key[order][:-1]
     ago[order[1:][same]] = np.diff(order)[same]
+    if memory is not None:
+        h = word_hashes(words)
+        first, last = np.full(len(h), -1), np.zeros(len(h), np.int64)
+        last[number] = np.arange(len(number)) + memory.n
+        first[number[::-1]] = np.arange(len(number))[::-1]
+        if len(memory.words):
+            at = np.minimum(np.searchsorted(memory.words, h), len(memory.words) - 1)
+            old = memory.words[at] == h
+            ago[first[old]] = first[old] + memory.n - memory.last[at[old]]
+        every, place = np.concatenate((h, memory.words)), np.concatenate((last, memory.last))
+        memory.words, keep = np.unique(every, return_index=True)  # the first of two is the later place
+        memory.last, memory.n = place[keep], memory.n + len(number)
     kind = np.where(ago == 0, 0, 1 + np.searchsorted(_LIMITS, ago))
+    if memory is not None:
+        kind, of = np.concatenate((memory.kinds, kind)), np.zeros(len(memory.kinds) + len(kind), np.int64)
+        memory.kinds = kind[-2:]
     triple = kind[:-2] * 36 + kind[1:-1] * 6 + kind[2:]
     inside = of[:-2] == of[2:]
-    return triple[inside], of[:-2][inside]
-
-
-def ngrams(texts: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each n-gram of the texts, and its text."""
-    raw, offsets = text_bytes(texts)
-    n = len(raw)
-    if n < 4:
-        grams, of = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    else:
-        word = raw.astype(np.uint32)
-        word = word[:-3] | word[1:-2] << 8 | word[2:-1] << 16 | word[3:] << 24
-        size = np.maximum(np.diff(offsets) - 3, 0)
-        of = np.repeat(np.arange(len(texts)), size)
-        at = np.arange(int(size.sum())) + np.repeat(offsets[:-1] - (np.cumsum(size) - size), size)
-        grams = ((word[at] * np.uint32(2654435769)) >> np.uint32(16)).astype(np.int64)
-    triples, of2 = _recency(raw, offsets, hasher)
-    return np.concatenate((grams, BUCKETS + triples)), np.concatenate((of, of2))
+    return triple[inside].astype(np.int32), of[:-2][inside].astype(np.int32)
+
+
+def ngrams(raw: np.ndarray, offsets: np.ndarray, memory: _Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each n-gram of the texts (raw, offsets: see text_bytes), and its text. With a memory: of the next block of one long text."""
+    triples, of2 = _recency(raw, offsets, memory)
+    if memory is not None:
+        raw = np.concatenate((memory.bytes, raw))
+        offsets, memory.bytes = np.array([0, len(raw)]), raw[-3:]
+    if len(raw) < 4:
+        return BUCKETS + triples, of2
+    word = raw.astype(np.uint32)
+    word = word[:-3] | word[1:-2] << 8 | word[2:-1] << 16 | word[3:] << 24
+    whole = np.ones(len(word), bool)
+    for back in (1, 2, 3):
+        stop = offsets[1:-1] - back
+        whole[stop[(stop >= 0) & (stop < len(word))]] = False
+    size = np.maximum(np.diff(offsets) - 3, 0)
+    grams = ((word[whole] * np.uint32(2654435769)) >> np.uint32(16)).astype(np.int32)
+    return np.concatenate((grams, BUCKETS + triples)), np.concatenate((np.repeat(np.arange(len(size), dtype=np.int32), size), of2))
+
+
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool, bool]]:
+    """(rows, n-grams, their texts, first, last) of slices or of blocks of long texts."""
+    memory = None
+    for batch in batches:
+        for part, raw, offsets, first, last in parts_of(batch, NOT_SPACE):
+            memory = None if first and last else _Memory() if first else memory
+            yield part, *ngrams(raw, offsets, memory), first, last
 
 
 WIDTH = BUCKETS + 216
@@ -68,41 +99,59 @@ WIDTH = BUCKETS + 216
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, WIDTH), np.int64)
-    hasher = Hasher()
-    for batch in batches:
-        for part in slices(batch):
-            grams, of = ngrams(part.column("text"), hasher)
-            good = part.column("good").fill_null(False).to_numpy(zero_copy_only=False)
-            total[0] += np.bincount(grams, minlength=WIDTH)
-            if good.any():
-                total[1] += np.bincount(grams[good[of]], minlength=WIDTH)
+    for part, grams, of, _, _ in _grams_of(batches):
+        good = part.column("good").fill_null(False).to_numpy(zero_copy_only=False)
+        total[0] += np.bincount(grams, minlength=WIDTH)
+        if good.any():
+            total[1] += np.bincount(grams[good[of]], minlength=WIDTH)
     k = np.flatnonzero(total[0])
     yield pa.record_batch({"bucket": pa.array(k.astype(np.int32)), "raw": pa.array(total[0, k]), "target": pa.array(total[1, k])})
 
 
 def _weigh(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
-    for batch in batches:
-        for part in slices(batch):
-            grams, of = ngrams(part.column("text"), hasher)
-            sums = np.bincount(of, weights=ratio[grams], minlength=part.num_rows) / (SHORT + np.bincount(of, minlength=part.num_rows))
-            yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "log_weight": pa.array(sums)})
+    sums = counts = np.zeros(1)
+    for part, grams, of, first, last in _grams_of(batches):
+        more = np.bincount(of, weights=ratio[grams], minlength=part.num_rows), np.bincount(of, minlength=part.num_rows)
+        sums, counts = more if first else (sums + more[0], counts + more[1])
+        if last:
+            yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "log_weight": pa.array(sums / (SHORT + counts))})
+
+
+def _weigh_held_out(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(log_weight, good) of labelled documents, each by the model that has been counted without it. counts: rows raw and target by bucket."""
+    own = np.zeros(WIDTH, np.int64)
+    for part, grams, of, first, last in _grams_of(batches):
+        good = part.column("good").to_numpy(zero_copy_only=False)
+        weights = []
+        cuts = np.flatnonzero(np.append(False, of[1:] < of[:-1]))  # n-grams of bytes, then of words
+        ends = [np.searchsorted(of[a:b], np.arange(part.num_rows + 1)) + a for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True)]
+        for k in range(part.num_rows):
+            mine = np.concatenate([grams[e[k] : e[k + 1]] for e in ends])
+            seen = np.bincount(mine, minlength=WIDTH)
+            own = seen if first else own + seen
+            if last:
+                weights.append(float(own @ ratios(counts[0], counts[1] - good[k] * own)) / (SHORT + own.sum()))
+        if last:
+            yield pa.record_batch({"log_weight": pa.array(weights, pa.float64()), "good": part.column("good")})
+
+
+def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log(target / raw) of each bucket, in each of the two families of n-grams; PRIOR pseudo-counts drawn from the raw model keep rare n-grams near 0. No target: 0."""
+    out = np.zeros(WIDTH)
+    for part in (slice(0, BUCKETS), slice(BUCKETS, WIDTH)):
+        expected = raw[part] * (target[part].sum() / max(raw[part].sum(), 1))
+        out[part] = np.log((target[part] + PRIOR) / (expected + PRIOR))
+    return out
 
 
-def log_ratios(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
-    """log(target / raw) of each bucket, in each of the two families of n-grams; PRIOR pseudo-counts drawn from the raw model keep rare n-grams near 0. labelled(doc_id, good) must be small."""
+def counts(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
+    """How often each bucket is found in all documents, and in those labelled good. labelled(doc_id, good) must be small."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled.where("good")), "doc_id", "left").select("text", "good")
     counted = rows.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most WIDTH rows
     table = np.zeros((2, WIDTH))
     table[0, counted["bucket"]] = counted["raw"]
     table[1, counted["bucket"]] = counted["target"]
-    if not table[1].any():
-        return np.zeros(WIDTH)
-    out = np.zeros(WIDTH)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, WIDTH)):
-        expected = table[0, part] * (table[1, part].sum() / max(table[0, part].sum(), 1))
-        out[part] = np.log((table[1, part] + PRIOR) / (expected + PRIOR))
-    return out
+    return table
 
 
 def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
@@ -151,10 +200,11 @@ def resample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, tempe
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good")).where("doc_id IS NOT NULL AND good IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     known = materialize(known, "labelled")
-    ratio = log_ratios(docs, known)
+    counted = counts(docs, known)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "good")
+    sample = texts.mapInArrow(partial(_weigh_held_out, counts=counted), "log_weight double, good boolean").toPandas()  # a row per labelled document
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    weighed = materialize(rows.mapInArrow(partial(_weigh, ratio=ratio), "row long, doc_id long, log_weight double"), "weights")
-    sample = weighed.join(F.broadcast(known), "doc_id").select("log_weight", "good").toPandas()
+    weighed = materialize(rows.mapInArrow(partial(_weigh, ratio=ratios(*counted)), "row long, doc_id long, log_weight double"), "weights")
     cut = best_cut(sample["log_weight"].to_numpy(), sample["good"].to_numpy(bool)) if len(sample) else -np.inf
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = weighed.withColumn("gumbel_key", F.col("log_weight") - temperature * F.log(-F.log(uniform)))

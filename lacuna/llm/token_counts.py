@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, slices, text_bytes, word_spans
+from .common import NOT_SPACE, parts_of, word_spans
 
+#: Words that numpy steps are too costly for.
+FEW = 64
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,6 +71,7 @@ class Automaton:
         self.fail, self.popped, self.last = np.array(fail, np.int32), np.array(popped, np.int32), np.array(last, np.int32)
         keys = np.array([u << 8 | c for u, x in enumerate(children) for c in x], np.uint64)
         values = np.array([v for x in children for v in x.values()], np.int32)
+        self.children = self.links = None  # made where they are used
         self.bits = max(10, int(len(keys) * 3).bit_length())
         self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
         self.values = np.zeros(1 << self.bits, np.int32)
@@ -99,6 +102,20 @@ class Automaton:
             place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def _walk(self, word: bytes, node: int, n: int) -> tuple[int, int]:
+        """Where the rest of one word leads, and its pieces so far."""
+        if self.children is None:
+            full = np.flatnonzero(self.keys != np.iinfo(np.uint64).max)
+            self.children = dict(zip(self.keys[full].tolist(), self.values[full].tolist(), strict=True))
+            self.links = self.fail.tolist(), self.popped.tolist()
+        children, (fail, popped) = self.children, self.links
+        for c in word:
+            while (nxt := children.get(node << 8 | c)) is None:
+                n += popped[node]
+                node = fail[node]
+            node = nxt
+        return node, n
+
     def count(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pieces of each of the words that lie one after another in data; ends are n + 1 offsets."""
         size = np.diff(ends)
@@ -108,6 +125,10 @@ class Automaton:
         active = len(order)
         for t in range(int(size[0]) if len(size) else 0):
             active = int(np.searchsorted(-size[:active], -t, "left"))
+            if active < FEW:  # the last of the long words, each by itself
+                for k in range(active):
+                    node[k], n[k] = self._walk(data[start[k] + t : start[k] + size[k]].tobytes(), int(node[k]), int(n[k]))
+                break
             byte = data[start[:active] + t]
             nxt = self._goto(node[:active], byte)
             stuck = np.flatnonzero(nxt < 0)
@@ -124,9 +145,9 @@ class Automaton:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], automaton: Automaton) -> Iterator[pa.RecordBatch]:
+    sums = (np.zeros(1, np.int64),) * 2
     for batch in batches:
-        for part in slices(batch):
-            raw, offsets = text_bytes(part.column("text"))
+        for part, raw, offsets, first, last in parts_of(batch, NOT_SPACE):
             starts, ends, of = word_spans(raw, offsets, NOT_SPACE)
             # each word with one space before it, one after another
             size = ends - starts + 1
@@ -138,7 +159,10 @@ def _counts(batches: Iterator[pa.RecordBatch], automaton: Automaton) -> Iterator
             bounds = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1) if len(distinct) else np.zeros(1, np.int64)
             pieces = automaton.count(np.frombuffer(distinct.buffers()[2], np.uint8) if len(distinct) else np.zeros(0, np.uint8), bounds)
             total = np.bincount(of, weights=pieces[words.indices.to_numpy()] if len(starts) else None, minlength=part.num_rows)
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(np.bincount(of, minlength=part.num_rows)), "n_tokens": pa.array(total.astype(np.int64))})
+            more = np.bincount(of, minlength=part.num_rows), total.astype(np.int64)
+            sums = more if first else (sums[0] + more[0], sums[1] + more[1])
+            if last:
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(sums[0]), "n_tokens": pa.array(sums[1])})
 
 
 def count_tokens(docs: DataFrame, automaton: Automaton) -> DataFrame:

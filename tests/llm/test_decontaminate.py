@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 from oracle import assert_equal
 
 from lacuna.llm import decontaminate as D
@@ -51,3 +52,34 @@ def test_proximity(spark):
     hit = lambda slop: {r.doc_id for r in D.contamination(docs, items, 3, slop).collect() if r.n_hit}
     assert hit(0) == set()
     assert hit(1) == {1, 2} or hit(1) == {1}
+
+
+def thue_morse(k):
+    return "".join("ab"[i.bit_count() % 2] for i in range(1 << k)), "".join("ba"[i.bit_count() % 2] for i in range(1 << k))
+
+
+def test_words_that_collide_under_polynomial_hashes_differ(spark):
+    a, b = thue_morse(11)
+    docs = spark.createDataFrame([(1, f"x {a} y")], "doc_id long, text string")
+    got = D.contamination(docs, spark.createDataFrame([(7, b), (None, a)], "item_id long, text string")).first()
+    assert (got.n_hit, got.item_ids) == (1, [])
+
+
+def test_long_texts_are_indexed_in_parts(spark, monkeypatch):
+    import lacuna.llm.common as C
+
+    text = " ".join(f"w{i % 37}" for i in range(500)) + " " + "z" * 300 + " tail of it"
+    rows = [(1, "short one"), (2, text), (3, "w1 w2 w3")]
+    items = [(1, " ".join(f"w{i}" for i in range(30, 37)) + " w0 w1"), (2, "z" * 300 + " tail of"), (3, "w35 w36 w0"), (4, "w499")]
+    monkeypatch.setattr(C, "SLICE_BYTES", 100)
+    monkeypatch.setattr(D, "parts_of", lambda batch, table: ((p, r[a:b], np.array([0, b - a]), a == 0, b == len(r)) for p in C.slices(batch, most=1) for r in [C.text_bytes(p.column("text"))[0]] for a, b in (list(C.blocks(r, table, 100)) or [(0, 0)])))
+    import numpy as np
+
+    for width in (4, 10):
+        index = list(D._index(iter([pa.record_batch({"doc_id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows])})]), width - 1))
+        assert len({c for b in index for c in b.column("chunk").to_pylist()}) == 3 < len(index)
+        df = spark.createDataFrame([r for b in index for r in b.to_pylist()], D.INDEX)
+        monkeypatch.setattr(D, "build_index", lambda docs, overlap, df=df: df)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [(r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in D.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), width).collect()]
+        assert sorted(got, key=repr) == brute(rows, items, width)

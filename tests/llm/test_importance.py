@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lacuna.llm import importance as I
-from lacuna.llm.common import Hasher
+from lacuna.llm.common import blocks, NOT_SPACE, text_bytes
 from lacuna.llm.queries import op8_quality_classifier
 
 
@@ -24,9 +24,13 @@ def brute_ngrams(text):
 
 def test_ngrams_equal_brute_force(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ["", None, "abc", "a a b a a", "é" * 9]
-    grams, of = I.ngrams(pa.array(texts), Hasher())
+    grams, of = I.ngrams(*text_bytes(pa.array(texts)))
     for i, t in enumerate(texts):
         assert sorted(grams[of == i].tolist()) == sorted(brute_ngrams(t))
+        for most in (7, 300):  # in blocks
+            raw, memory = text_bytes(pa.array([t], pa.string()))[0], I._Memory()
+            parts = [I.ngrams(raw[a:b], np.array([0, b - a]), memory)[0] for a, b in blocks(raw, NOT_SPACE, most)]
+            assert sorted(np.concatenate([*parts, np.zeros(0, np.int32)]).tolist()) == sorted(brute_ngrams(t))
 
 
 def test_query_equals_brute_force(spark, sf):
@@ -45,7 +49,14 @@ def test_query_equals_brute_force(spark, sf):
     got = {r.doc_id: r for r in op8_quality_classifier(spark, sf).collect()}
     assert got.keys() == docs.keys()
     assert all(math.isclose(got[d].log_weight, w, abs_tol=1e-9) for d, w in weight.items())
-    cut = I.best_cut(np.array([weight[d] for d in sorted(labels)]), np.array([labels[d] for d in sorted(labels)]))
+    held = []
+    for d in sorted(labels):  # each weighed without its own n-grams in the target model
+        rest = good - np.bincount(list(grams[d].elements()), minlength=I.WIDTH) * labels[d]
+        own = np.zeros(I.WIDTH)
+        for part in (slice(0, I.BUCKETS), slice(I.BUCKETS, I.WIDTH)):
+            own[part] = np.log((rest[part] + I.PRIOR) / (raw[part] * rest[part].sum() / raw[part].sum() + I.PRIOR))
+        held.append(sum(n * own[k] for k, n in grams[d].items()) / (sum(grams[d].values()) + I.SHORT))
+    cut = I.best_cut(np.array(held), np.array([labels[d] for d in sorted(labels)]))
     k = sum(w >= cut for w in weight.values())
     assert sorted(r.doc_id for r in got.values() if r.kept) == sorted(sorted(got, key=lambda d: -got[d].gumbel_key)[:k])
     seen = [(labels[d], got[d].kept) for d in labels]
