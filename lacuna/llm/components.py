@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _digest(df: DataFrame) -> tuple:
@@ -13,7 +13,7 @@ def _digest(df: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges(u, v) to (u, root): for each node with an edge, the smallest node reachable; the root itself is not listed.
 
     Each step reduces to the minimum per node, which is combined before the shuffle, then joins it back, a join that adaptive execution splits where
@@ -21,9 +21,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _digest(now)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -34,10 +32,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        now, before = materialize(small, "edges"), seen
+        last, now, before = now, materialize(small, "edges"), seen
+        discard(large)
+        discard(last)
         seen = _digest(now)
         if seen == before:
-            return now.select("u", F.col("v").alias("root"))
-    if seen[0]:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+            break
     return now.select("u", F.col("v").alias("root"))

@@ -18,64 +18,72 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, local_components, materialize, runs, slices, text_bytes, word_spans
+from .common import LOWER, NOT_SPACE, SLICE_BYTES, blocks, local_components, materialize, runs, slices, text_bytes, word_spans
 from .components import connected_components
 
 #: Fixed value: the generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the [23, 12] Golay code.
 GOLAY = 0b110001110101
 RADIUS = 3
+#: Shingles hashed at once.
+SHINGLES = 1 << 14
 #: Pairs compared at once, and from where on a group is resolved without comparing its pairs.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 HOT_PAIRS = 1 << 24
 
 
-def _lowered_words(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased words with one space between, as one buffer; start and end of each word in it; its text."""
-    raw, offsets = text_bytes(texts)
+def _lowered_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of the words with one space after each, as one buffer; start and end of each word in it; its text."""
     starts, ends, of = word_spans(raw, offsets, NOT_SPACE)
     inside = NOT_SPACE[raw]
-    # A byte of a word moves to: bytes of words before it, and one space for each word before its own.
-    lengths = ends - starts
-    at = np.concatenate(([0], np.cumsum(lengths + 1)))
-    out = np.full(at[-1], 0x20, np.uint8)
-    out[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(starts)), lengths)] = LOWER[raw[inside]]
-    return out.tobytes(), at[:-1], at[:-1] + lengths, of
-
-
-def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 (seed 42) of each shingle, repeats included, and n + 1 offsets by text. A text of fewer words is one shingle; no words, none."""
-    data, starts, ends, of = _lowered_words(texts)
-    n = len(texts)
-    words = np.bincount(of, minlength=n)
-    count = np.where(words > 0, np.maximum(words - width + 1, 1), 0)
-    offsets = np.concatenate(([0], np.cumsum(count)))
-    first_word = np.concatenate(([0], np.cumsum(words)))[:-1]
-    doc = np.repeat(np.arange(n), count)
-    a = first_word[doc] + np.arange(offsets[-1]) - offsets[doc]
-    b = np.minimum(a + width, first_word[doc] + words[doc]) - 1
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]  # with the first space after a word
+    at = np.cumsum(keep, dtype=np.int32)[starts] - 1 if len(starts) else starts
+    return np.where(inside, LOWER[raw], np.uint8(0x20))[keep].tobytes(), at, at + (ends - starts).astype(np.int32), of
+
+
+def _votes(ones: np.ndarray, words: tuple[bytes, np.ndarray, np.ndarray, np.ndarray], width: int, short: bool) -> np.ndarray:
+    """Adds to ones[text, bit] the shingles that have the bit, and returns the number of shingles of each text; a text of fewer words than `width` is one shingle if `short`, else none."""
+    data, starts, ends, of = words
+    n = np.bincount(of, minlength=len(ones))
+    count = np.where(n >= width, n - width + 1, (n > 0) & short)
+    bounds, first = np.concatenate(([0], np.cumsum(count))), np.cumsum(n) - n
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(data[i:j], 42) for i, j in zip(starts[a].tolist(), ends[b].tolist(), strict=True)]
-    return np.array(hashes, np.uint64), offsets
-
-
-def majority(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each run of hashes the word of the bits set in over half of them; no hashes give 0."""
-    n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    if len(full):
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, offsets[full], axis=0, dtype=np.int64)
-        most = 2 * ones > np.diff(offsets)[full, None]
-        out[full] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    for a in range(0, int(bounds[-1]), SHINGLES):
+        k = np.arange(a, min(a + SHINGLES, int(bounds[-1])))
+        doc = np.searchsorted(bounds, k, "right") - 1
+        i = first[doc] + k - bounds[doc]
+        j = np.minimum(i + width, first[doc] + n[doc]) - 1
+        h = np.fromiter((digest(data[x:y], 42) for x, y in zip(starts[i].tolist(), ends[j].tolist(), strict=True)), np.uint64, len(k))
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        ones[doc[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.uint32)
+    return count
+
+
+def majority(part: pa.RecordBatch, width: int) -> np.ndarray:
+    """For each text of a result of slices() the word of the bits that over half of its shingles have; no words give 0.
+
+    A shingle is XXH64 (seed 42) of `width` words in a row, repeats included, or of all words where there are fewer. Hashes are made and counted some thousands at a time; a long text is read in blocks."""
+    raw, offsets = text_bytes(part.column("text"))
+    ones = np.zeros((part.num_rows, 64), np.int64)
+    if part.num_rows != 1 or len(raw) <= SLICE_BYTES:
+        total = _votes(ones, _lowered_words(raw, offsets), width, True)
+    else:
+        total, before = np.zeros(1, np.int64), b""
+        for a, b in blocks(raw, NOT_SPACE):
+            block = np.concatenate((np.frombuffer(before, np.uint8), raw[a:b]))
+            words = _lowered_words(block, np.array([0, len(block)]))
+            total += _votes(ones, words, width, b == len(raw) and not total[0])
+            data, starts, ends, _ = words
+            k = min(width - 1, len(starts))
+            before = data[starts[-k] : ends[-1]] + b" " if k else b""
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            fp = majority(*shingle_hashes(part.column("text"), width))
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": pa.array(majority(part, width).view(np.int64))})
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
@@ -141,8 +149,8 @@ def anchors(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.n
 def _replicate(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column("fp").to_numpy().view(np.uint64)
-        for at in range(0, len(fp), 4096):
-            part = fp[at : at + 4096]
+        for at in range(0, len(fp), 1024):
+            part = fp[at : at + 1024]
             i, anchor, home = anchors(part, max_bits)
             yield pa.record_batch({"place": pa.array(2 * anchor + ~home), "fp": pa.array(part[i].view(np.int64))})
 
@@ -170,23 +178,12 @@ def _linked(place: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarra
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
 
 
-def _nearest(fp: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each u the linked v that is closest."""
-    order = np.lexsort((fp[v], np.bitwise_count(fp[u] ^ fp[v]), u))
-    first = order[runs(u[order])[:-1]]
-    return u[first], v[first]
-
-
-def _compare(batches: Iterator[pa.RecordBatch], max_bits: int, nearest: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by place to star edges (u, v), one star for each set of linked fingerprints of an anchor, or with `nearest` from each
-    fingerprint to the closest home that it is linked to. A group with too many
+def _compare(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by place to star edges (u, v), one star for each set of linked fingerprints of an anchor. A group with too many
     pairs goes through as rows (fp, null), without being held, and is resolved by hot_edges."""
 
     def stars(place: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         u, v = _linked(place, fp, max_bits)
-        if nearest:
-            u, v = _nearest(fp, u, v)
-            return edge_batch(fp[u], fp[v])
         root = local_components(len(fp), u, v)
         mine = np.flatnonzero(root != np.arange(len(fp)))
         return edge_batch(fp[mine], fp[root[mine]])
@@ -227,31 +224,32 @@ def _compare(batches: Iterator[pa.RecordBatch], max_bits: int, nearest: bool = F
 
 
 def _meeting_points(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint at all words within half of max_bits, rounded up: two within max_bits share one. (An odd max_bits gives wider meetings, so those are checked by the next step.)"""
-    flips = np.array([0] + [sum(1 << i for i in c) for k in range(1, max_bits // 2 + 1) for c in combinations(range(64), k)], np.uint64)
+    """Each fingerprint at all words within half of max_bits, rounded up; `near` where half rounded down reaches. Of two within max_bits, one is near a word that the other reaches too."""
+    flips = [0] + [sum(1 << i for i in c) for k in range(1, (max_bits + 1) // 2 + 1) for c in combinations(range(64), k)]
+    near = np.bitwise_count(np.array(flips, np.uint64)) <= max_bits // 2
+    flips = np.array(flips, np.uint64)
     for batch in batches:
         fp = batch.column("u").to_numpy().view(np.uint64)
-        for at in range(0, len(fp), 4096):
-            part = fp[at : at + 4096]
-            yield pa.record_batch({"point": pa.array((part[:, None] ^ flips).ravel().view(np.int64)), "u": pa.array(np.repeat(part, len(flips)).view(np.int64))})
+        rows = max((1 << 18) // len(flips), 1)
+        for at in range(0, len(fp), rows):
+            part = fp[at : at + rows]
+            u = np.repeat(part, len(flips))
+            yield pa.record_batch({"point": pa.array((part[:, None] ^ flips).ravel().view(np.int64)), "u": pa.array(u.view(np.int64)), "near": pa.array(np.tile(near, len(part)))})
 
 
 def hot_edges(hot: DataFrame, max_bits: int) -> DataFrame:
-    """Links within crowded anchors without comparing pairs: two words are within 2k bits iff some word is within k bits of both, so
-    all that meet at one point are linked to its smallest. The minimum is combined before the shuffle."""
-    if max_bits % 2:
-        raise ValueError("crowded anchors are resolved for an even max_bits only")
-    met = hot.select("u").distinct().mapInArrow(partial(_meeting_points, max_bits=max_bits), "point long, u long")
-    least = met.groupBy("point").agg(F.min("u").alias("v"), F.max("u").alias("w")).where("v < w").select("point", "v")
+    """Links within crowded anchors without comparing pairs: all that meet at one word are linked to the smallest that is near it. The minimum is combined before the shuffle."""
+    met = hot.select("u").distinct().mapInArrow(partial(_meeting_points, max_bits=max_bits), "point long, u long, near boolean")
+    least = met.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("u"))).alias("v"), F.min("u").alias("low"), F.max("u").alias("high")).where("v IS NOT NULL AND low < high").select("point", "v")
     return met.join(least, "point").where("u <> v").select("u", "v").distinct()
 
 
-def link_edges(fps: DataFrame, max_bits: int = 2, nearest: bool = False) -> DataFrame:
-    """fps(fp), distinct, to edges (u, v) whose connected components are those of all pairs within max_bits bits; with `nearest`, the closest pairs are among them."""
-    spread = fps.mapInArrow(partial(_replicate, max_bits=max_bits), "place long, fp long")
+def link_edges(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+    """fps(fp), distinct, to edges (u, v) whose connected components are those of all pairs within max_bits bits."""
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spread = fps.repartition(n).mapInArrow(partial(_replicate, max_bits=max_bits), "place long, fp long")  # dealt by count: the rows are few, their copies many
     ordered = spread.repartition(n, F.shiftright("place", 1)).sortWithinPartitions("place")
-    found = materialize(ordered.mapInArrow(partial(_compare, max_bits=max_bits, nearest=nearest), "u long, v long"), "links")
+    found = materialize(ordered.mapInArrow(partial(_compare, max_bits=max_bits), "u long, v long"), "links", free=True)
     edges = found.where("v is not null")
     hot = found.where("v is null")
     if hot.isEmpty():

@@ -92,3 +92,42 @@ def test_crowded_anchors_lose_no_link(spark, monkeypatch):
     label = simhash.local_components(len(fp), np.array([at[u] for u, _ in edges]), np.array([at[v] for _, v in edges]))
     want = brute_components([(int(k), int(x)) for k, x in enumerate(fp)], 2)
     assert {(k, f"{int(x):016x}", int(label[k])) for k, x in enumerate(fp)} == want
+
+
+def test_long_texts_are_read_in_blocks(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [" ".join("x" * rng.randint(1, 9) + rng.choice("abcdÉ") for _ in range(900)), "a" * 5000, "a " * 3000, " " * 3000 + "one two", "ab " * 20 + "c" * 4000 + " d" * 30]
+    want = [brute_fp(t, 3) for t in texts]
+    for size in (64, 1000, 1 << 21):
+        for module in (simhash, __import__("lacuna.llm.common", fromlist=["x"])):
+            monkeypatch.setattr(module, "SLICE_BYTES", size)
+        monkeypatch.setattr(simhash, "SHINGLES", 50)
+        monkeypatch.setattr(simhash, "blocks", lambda raw, table, size=size: __import__("lacuna.llm.common", fromlist=["x"]).blocks(raw, table, size))
+        got = [int(simhash.majority(pa.record_batch({"text": pa.array([t])}), 3)[0]) for t in texts]
+        assert got == want
+    assert simhash.majority(pa.record_batch({"text": pa.array(texts)}), 3).tolist() == want
+
+
+def test_a_20_mb_text_needs_little_memory():
+    import resource
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, pyarrow as pa; from lacuna.llm import simhash; part = pa.record_batch({'text': pa.array(['a b c d ' * (5 << 19)])}); "
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; simhash.majority(part, 3); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    assert resource
+    used = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert used < 300
+
+
+def test_odd_distances_of_crowded_anchors(spark):
+    fp = np.unique(np.uint64(12345) ^ (np.uint64(1) << np.random.default_rng(4).integers(0, 64, 40, dtype=np.uint64)) ^ np.repeat(np.array([0, 1 << 40], np.uint64), 20))
+    edges = [tuple(r) for r in simhash.hot_edges(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "u long"), 1).collect()]
+    at = {int(x): k for k, x in enumerate(fp.view(np.int64))}
+    label = simhash.local_components(len(fp), np.array([at[u] for u, _ in edges], np.int64), np.array([at[v] for _, v in edges], np.int64))
+    want = brute_components([(int(k), int(x)) for k, x in enumerate(fp)], 1)
+    assert {(k, f"{int(x):016x}", int(label[k])) for k, x in enumerate(fp)} == want
