@@ -16,14 +16,17 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, materialize, slices, text_bytes, word_spans
+from .common import LOWER, NOT_SPACE, materialize, parts_of, word_spans
 
-#: Distinct units that a worker remembers with their ids; at that many it forgets them all and starts again.
+#: Distinct units that a worker remembers with their ids. Beyond that it forgets those that only one slice had, or all if few are left to forget.
 REMEMBERED = 400_000
+#: Units joined to one text for the tokenizer, and such texts given to it at once.
+JOINED, TEXTS = 256, 16
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 1 << 19
 _SEPARATOR = "\x00"
@@ -64,65 +67,83 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         found = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
         self.separator = found[0] if len(found) == 1 else None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.at = [0]
-        self.flat = np.zeros(1 << 16, np.uint32)
-
-    def _learn(self, units: list[str]) -> None:
-        plain = [u for u in units if _SEPARATOR not in u] if self.separator is not None else []
-        texts = [f" {_SEPARATOR} ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)]
-        for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            marks = np.flatnonzero(ids == self.separator)
-            self._add(plain[256 * i : 256 * i + 256], ids[ids != self.separator], np.append(marks - np.arange(len(marks)), len(ids) - len(marks)))
-        odd = units if self.separator is None else [u for u in units if _SEPARATOR in u]
-        for u in odd:
-            ids = np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, np.uint32)
-            self._add([u], ids, np.array([len(ids)]))
-
-    def _add(self, units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        assert len(units) == len(ends)
-        base = self.at[-1]
-        while base + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[base : base + len(ids)] = ids
-        for k, u in enumerate(units, len(self.at) - 1):
-            self.known[u] = k
-        self.at += (base + ends).tolist()
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
-        raw, offsets = text_bytes(texts)
+        self._keep(np.zeros(0, bool))
+
+    def _keep(self, mask: np.ndarray) -> None:
+        """Forgets the known units but those of the mask."""
+        if not len(mask):
+            self.known = pa.array([], pa.large_string())
+            self.at, self.flat, self.slices = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
+            return
+        size = np.diff(self.at)
+        self.known, self.flat, self.slices = self.known.filter(pa.array(mask)), self.flat[np.repeat(mask, size)], np.zeros(int(mask.sum()), np.int32)
+        self.at = np.concatenate(([0], np.cumsum(size[mask])))
+
+    def _ids_of(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of the units in runs, and the number of ids of each unit in runs."""
+        ids, sizes = [], []
+        if self.separator is None or any(_SEPARATOR in u for u in units):
+            for u in units:
+                ids.append(np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, np.uint32))
+                sizes.append(np.array([len(ids[-1])]))
+            return ids, sizes
+        texts = [f" {_SEPARATOR} ".join(units[i : i + JOINED]) for i in range(0, len(units), JOINED)]
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            found = np.array(e.ids, np.uint32)
+            marks = np.flatnonzero(found == self.separator)
+            sizes.append(np.diff(marks, prepend=-1, append=len(found)) - 1)
+            ids.append(np.delete(found, marks))
+        return ids, sizes
+
+    def _learn(self, fresh: pa.Array) -> None:
+        ids, sizes = [self.flat], []
+        for i in range(0, len(fresh), JOINED * TEXTS):
+            more = self._ids_of(fresh.slice(i, JOINED * TEXTS).to_pylist())
+            ids += more[0]
+            sizes += more[1]
+        sizes = np.concatenate(sizes)
+        assert len(sizes) == len(fresh)
+        self.flat, self.known = np.concatenate(ids), pa.concat_arrays([self.known, fresh])
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
+        self.slices = np.concatenate((self.slices, np.zeros(len(fresh), np.int32)))
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (raw, offsets: see text_bytes), and the number of ids of each text."""
         starts, ends, of = _units(raw, offsets)
         lengths = ends - starts
-        ends_at = np.concatenate(([0], np.cumsum(lengths)))
-        data = LOWER[raw[NOT_SPACE[raw]]]
-        held = np.zeros(len(starts), bool)
+        inside = NOT_SPACE[raw]
+        data = LOWER[raw[inside]]
         special = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)) if len(raw) else np.zeros(0, np.int64)
         if len(special):  # special tokens are matched before lower-casing
+            held = np.zeros(len(starts), bool)
             held[np.searchsorted(starts, special, "right") - 1] = True
-            byte = np.repeat(held, lengths)
-            data = np.where(byte, raw[NOT_SPACE[raw]], data)
-        units = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends_at), pa.py_buffer(np.ascontiguousarray(data))])
+            data = np.where(np.repeat(held, lengths), raw[inside], data)
+        units = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(lengths)))), pa.py_buffer(np.ascontiguousarray(data))])
         coded = units.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > REMEMBERED:
-            self._forget()
-        fresh = [w for w in words if w not in self.known]
-        if fresh:
-            self._learn(fresh)
-        known = self.known
-        entry = np.fromiter((known[w] for w in words), np.int64, len(words))
-        at = np.array(self.at, np.int32)
-        first, size = at[entry], at[entry + 1] - at[entry]
+        words = coded.dictionary
+        entry = pc.index_in(words, value_set=self.known)
+        missing = entry.is_null()
+        if entry.null_count:
+            if len(self.known) + entry.null_count > REMEMBERED:
+                often = self.slices > 1
+                self._keep(often if 2 * often.sum() < REMEMBERED else np.zeros(0, bool))
+                entry = pc.index_in(words, value_set=self.known)
+                missing = entry.is_null()
+            before = len(self.known)
+            self._learn(words.filter(missing))
+            new = missing.to_numpy(zero_copy_only=False)
+            entry = entry.fill_null(0).to_numpy().copy()
+            entry[new] = np.arange(before, before + int(new.sum()))
+        else:
+            entry = entry.to_numpy(zero_copy_only=False).astype(np.int32)
+        self.slices[entry] += 1
+        first, size = self.at[entry], np.diff(self.at)[entry].astype(np.int32)
         index = coded.indices.to_numpy() if len(words) else np.zeros(0, np.int32)
         count = size[index]
         total = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
-        ids = self.flat[np.repeat((first[index] - total[:-1]).astype(np.int32), count) + np.arange(total[-1], dtype=np.int32)]
-        return ids, np.bincount(of, weights=count, minlength=len(texts)).astype(np.int64)
+        place = np.repeat((first[index] - total[:-1]).astype(np.int32), count)
+        place += np.arange(total[-1], dtype=np.int32)
+        return self.flat[place], np.bincount(of, weights=count, minlength=len(offsets) - 1).astype(np.int64)
 
 
 @cache
@@ -141,11 +162,19 @@ CODED = "shard int, doc_id long, n long, control binary, data binary"
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """A row per slice of texts: its ids by byte planes, squeezed."""
     squeeze = zstandard.ZstdCompressor(level=1)
+    longs = pa.list_(pa.int64())
+    held: list[np.ndarray] = []  # ids of the blocks so far of one long text
     for batch in batches:
-        for part in slices(batch):
-            ids, count = _with_end(*encoder(path).encode(part.column("text")), end_id)
+        for part, raw, offsets, first, last in parts_of(batch, NOT_SPACE):
+            ids, count = encoder(path).encode(raw, offsets)
+            if not (first and last):
+                held = [ids] if first else [*held, ids]
+                if not last:
+                    continue
+                ids = np.concatenate(held)
+                count, held = np.array([len(ids)]), []
+            ids, count = _with_end(ids, count, end_id)
             planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-            longs = pa.list_(pa.int64())
             yield pa.record_batch({"doc_ids": pa.array([part.column("doc_id").to_pylist()], longs), "lengths": pa.array([count], longs), "ids": pa.array([squeeze.compress(planes.tobytes())], pa.binary())})
 
 

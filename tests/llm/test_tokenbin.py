@@ -6,6 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from lacuna.llm import tokenbin
+from lacuna.llm.common import text_bytes
 from lacuna.llm.queries import op6_token_output
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -32,7 +33,7 @@ ODD = ["", None, " \n\t", "it's we'll 'S x'y 'sa", "a<|endoftext|>b <|EndOfText|
 
 def test_units_never_change_ids():
     t = Tokenizer.from_file(PATH)
-    ids, count = tokenbin.Encoder(PATH).encode(pa.array(ODD))
+    ids, count = tokenbin.Encoder(PATH).encode(*text_bytes(pa.array(ODD)))
     want = [t.encode(x or "", add_special_tokens=False).ids for x in ODD]
     assert count.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
@@ -45,7 +46,7 @@ def test_forgetting_and_random_texts(monkeypatch):
     t, e = Tokenizer.from_file(PATH), tokenbin.Encoder(PATH)
     for _ in range(60):
         texts = ["".join(rng.choice(chars, rng.integers(0, 60))) for _ in range(7)]
-        ids, count = e.encode(pa.array(texts))
+        ids, count = e.encode(*text_bytes(pa.array(texts)))
         want = [t.encode(x, add_special_tokens=False).ids for x in texts]
         assert [i for w in want for i in w] == ids.tolist(), texts
 
@@ -76,3 +77,16 @@ def df_lit():
     from pyspark.sql import functions as F
 
     return F.lit("clash")
+
+
+def test_long_texts_are_tokenized_in_blocks(monkeypatch):
+    import lacuna.llm.common as C
+
+    texts = [" ".join(f"Word{i} it's" for i in range(200)), "x" * 900 + " <|endoftext|> y", "short"]
+    t = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(C, "SLICE_BYTES", 100)
+    monkeypatch.setattr(C, "blocks", lambda raw, table, f=C.blocks: f(raw, table, 100))
+    batches = [pa.record_batch({"doc_id": pa.array([i]), "text": pa.array([x])}) for i, x in enumerate(texts)]
+    for row, x in zip([r for b in tokenbin._tokenize(iter(batches), PATH, 1) for r in b.to_pylist()], texts, strict=True):
+        want = [*t.encode(x, add_special_tokens=False).ids, 1]
+        assert tokenbin._planes(row["ids"]).tolist() == want and row["lengths"] == [len(want)]
