@@ -1,11 +1,13 @@
 """Removal of long byte strings that occur earlier in the corpus, with a run-length compressed index.
 
 1. Every window of `length` bytes belongs to its minimizer, the leftmost smallest hash of the 32-byte strings in it. Neighbouring windows with one minimizer make a piece. Equal windows have equal minimizers, so
-   equal windows meet if pieces are dealt by minimizer. Of equal pieces all but the earliest are removed, first among the texts that a worker holds, so that few copies travel.
-2. Where a minimizer is left with pieces of different content, these are fetched and indexed: a Burrows-Wheeler transform compressed to its runs, with text positions
+   equal windows meet if pieces are dealt by minimizer. Equal pieces are a class: its earliest member represents it, the others are removed whole. Classes are first formed by the texts that a task reads, so that few copies
+   travel. Members agree with their representative in a 64-bit hash of the minimizer and one of the piece; those that meet in one slice of input are compared byte by byte besides.
+2. Where a minimizer is left with representatives of different content, these are fetched and indexed: a Burrows-Wheeler transform compressed to its runs, with text positions
    sampled at the ends of runs. Later pieces are streamed backwards over an index of earlier ones, which gives matching statistics (for each place the longest match, and where), and windows that start a match of
    `length` or more are removed.
-3. A minimizer with very many different pieces (next to a passage that a large share of all documents has) is resolved by hashes of its single windows, so that no task holds them all.
+3. A minimizer with very many different pieces (next to a passage that a large share of all documents has) would have to be streamed over an index of them all in one task, or over each of many. Its windows become
+   pieces of their own instead, dealt by 128 bits of their content.
 """
 
 from __future__ import annotations
@@ -18,78 +20,142 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, materialize, mix, runs, slices, text_bytes
+from .common import SLICE_BYTES, materialize, mix, runs, slices, text_bytes
 
 GRAM = 32
-#: Different pieces of one minimizer, from where on its windows are dealt singly.
+#: Different pieces of one minimizer, from where on its windows are pieces of their own.
 CROWD = 32
-#: Parts that such a minimizer's pieces are dealt to, each of which sets aside its own repeated windows.
-SALTS = 16
-#: Bytes of pieces indexed together.
-INDEX_BYTES = 4 << 20
-_TIE_BITS, _START_BITS, _COUNT_BITS = 24, 31, 8
-
-
-def _at(tie: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (tie << (_START_BITS + _COUNT_BITS)) | (start << _COUNT_BITS) | count
-
-
-def minimizers(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each 32-byte string of raw, and for each start of `width` of them in a row the position of the leftmost smallest. The end of raw is padded."""
-    n = len(raw)
-    padded = np.zeros(n + GRAM + 8, np.uint8)
-    padded[:n] = raw
-    word = np.ndarray((n + GRAM,), "<u8", padded.tobytes(), 0, (1,)).astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(0, GRAM, 8):
-        h = (h ^ word[k : k + n]) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        h ^= h >> np.uint64(31)
-    best, place, have = h, np.arange(n, dtype=np.int32), 1
-    while have < width:
-        step = min(have, width - have)
-        right, at = np.append(best[step:], np.full(step, np.iinfo(np.uint64).max, np.uint64)), np.append(place[step:], np.full(step, n, np.int32))
-        take = right < best
-        best, place = np.where(take, right, best), np.where(take, at, place)
-        have += step
-    return h, place
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+#: Bytes of pieces indexed together, and pieces cut out or hashed at once.
+INDEX_BYTES = 2 << 20
+AT_ONCE = 2048
+#: Classes that a task remembers from the slices it has read, at most; others form again at the shuffle.
+REMEMBERED = 1 << 16
+_COUNT_BITS = 8
+
+
+class Grams:
+    """Hashes of all 32-byte strings of some bytes, and of longer stretches by those in them. The end is padded."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        n = len(raw)
+        padded = np.zeros(n + GRAM + 8, np.uint8)
+        padded[:n] = raw
+        self.words = np.ndarray((n + GRAM,), "<u8", padded.data, 0, (1,))
+        h = np.zeros(n, np.uint64)
+        for k in range(0, GRAM, 8):
+            h ^= self.words[k : k + n]
+            h *= np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+            h ^= h >> np.uint64(31)
+        self.h = h
+
+    def minimizers(self, width: int) -> np.ndarray:
+        """For each start of `width` strings in a row the position of the leftmost one with the smallest hash."""
+        n = len(self.h)
+        best, place, have = self.h, np.arange(n, dtype=np.int32), 1
+        while have < width:
+            step = min(have, width - have)
+            right, at = np.append(best[step:], np.full(step, np.iinfo(np.uint64).max, np.uint64)), np.append(place[step:], np.full(step, n, np.int32))
+            take = right < best
+            best, place = np.where(take, right, best), np.where(take, at, place)
+            have += step
+        return place
+
+    def spans(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        """A hash of each stretch of 32 bytes or more."""
+        out = mix((end - start).astype(np.uint64) + np.uint64(0xA0761D6478BD642F * (seed + 1) % (1 << 64)))
+        left = np.arange(len(start))
+        at = start.copy()
+        while len(left):
+            out[left] = mix(out[left] ^ self.h[at[left]])
+            at[left] += GRAM
+            left = left[at[left] < end[left]]
+            at[left] = np.minimum(at[left], end[left] - GRAM)
+        return out
+
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the stretches of `size` bytes, 8 or more, from a and from b on are the same bytes."""
+        out = np.ones(len(a), bool)
+        for k in range(0, int(size.max()) if len(size) else 0, 8):
+            more = np.flatnonzero(k < size)
+            step = np.minimum(k, size[more] - 8)
+            out[more] &= self.words[a[more] + step] == self.words[b[more] + step]
+        return out
+
+
+def _before(d1: np.ndarray, at: np.ndarray, d1_other: np.ndarray, at_other: np.ndarray) -> np.ndarray:
+    return (d1 < d1_other) | ((d1 == d1_other) & (at < at_other))
+
+
+class _Classes:
+    """The earliest pieces so far of classes that had several members in one slice of a task."""
+
+    def __init__(self) -> None:
+        self.deal, self.content, self.d1, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def earlier(self, deal: np.ndarray, content: np.ndarray, d1: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which pieces have an earlier one of their class here."""
+        if not len(self.deal) or not len(deal):
+            return np.zeros(len(deal), bool)
+        k = np.minimum(np.searchsorted(self.deal, deal), len(self.deal) - 1)
+        return (self.deal[k] == deal) & (self.content[k] == content) & _before(self.d1[k], self.at[k], d1, at)
+
+    def add(self, deal: np.ndarray, content: np.ndarray, d1: np.ndarray, at: np.ndarray) -> None:
+        columns = [np.concatenate(x)[-REMEMBERED:] for x in ((self.deal, deal), (self.content, content), (self.d1, d1), (self.at, at))]
+        order = np.lexsort((columns[3], columns[2], columns[0]))
+        first = order[runs(columns[0][order])[:-1]] if len(order) else order  # one class of each minimizer
+        self.deal, self.content, self.d1, self.at = (x[first] for x in columns)
+
+
+def _stretches(batch: pa.RecordBatch, length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(raw, offsets, d1, base): slices of the batch, or parts of one long text, from byte `base` on. Parts overlap by length - 1, so that each window is in one."""
+    for part in slices(batch, most=most):
+        raw, offsets = text_bytes(part.column("text"))
+        d1 = part.column("d1").to_numpy()
+        if part.num_rows > 1 or len(raw) <= most:
+            yield raw, offsets, d1, 0
+            continue
+        for a in range(0, len(raw) - length + 1, most):
+            yield raw[a : a + most + length - 1], np.array([0, min(most + length - 1, len(raw) - a)]), d1, a
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
     """(deal, content, d1, at) of the earliest of equal pieces of the slice; its others are removed: rows with 0 windows in `at`, whose content is the number of bytes."""
-    hasher = Hasher()
+    classes = _Classes()
     for batch in batches:
-        for part in slices(batch):
-            raw, offsets = text_bytes(part.column("text"))
+        for raw, offsets, ids, base in _stretches(batch, length, most):
             size = np.diff(offsets)
-            long = size >= length
-            if not long.any():
+            windows = np.where(size >= length, size - length + 1, 0)
+            if not windows.any():
                 continue
-            h, place = minimizers(raw, length - GRAM + 1)
-            windows = np.where(long, size - length + 1, 0)
-            doc = np.repeat(np.arange(len(size)), windows)
-            start = np.arange(len(doc)) + np.repeat(offsets[:-1] - (np.cumsum(windows) - windows), windows)
+            grams = Grams(raw)
+            place = grams.minimizers(length - GRAM + 1)
+            start = np.flatnonzero(np.repeat(np.tile([True, False], len(size)), np.stack((windows, size - windows), 1).ravel()))
             key = place[start]
-            cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-            first, count, of = start[cut], np.diff(np.append(cut, len(start))), doc[cut]
-            prefix = hasher.prefix(raw)
-            deal, content = h[place[first]], hasher.spans(prefix, first, first + count + length - 1)
-            d1 = part.column("d1").to_numpy()[of]
-            tie = part.column("tie").to_numpy()[of]
-            at = _at(tie, first - offsets[of], count)
+            cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)))
+            first, count = start[cut], np.diff(np.append(cut, len(start)))
+            of = np.searchsorted(offsets, first, "right") - 1
+            deal, content = grams.h[key[cut]], grams.spans(first, first + count + length - 1)
+            d1, at = ids[of], (first - offsets[of] + base) << _COUNT_BITS | count
             order = np.lexsort((at, d1, content, deal))
             same = np.zeros(len(order), bool)
             same[1:] = (deal[order][1:] == deal[order][:-1]) & (content[order][1:] == content[order][:-1])
             lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            twin = (d1[order] == d1[order][lead]) & (at[order] == at[order][lead])  # the same document again
-            gone, stay = order[same & ~twin], order[~same]
-            gone = np.sort(gone)
+            i, j = order[same], order[lead[same]]
+            differs = ~grams.same(first[i], first[j], count[i] + length - 1)
+            content[i[differs]] ^= i[differs].astype(np.uint64) + np.uint64(1)  # a class of its own
+            twin = (d1[i] == d1[j]) & (at[i] == at[j])  # the same document again
+            stay = order[~same]
+            known = classes.earlier(deal[stay], content[stay], d1[stay], at[stay])
+            many = np.unique(j[~differs & ~twin])
+            classes.add(deal[many], content[many], d1[many], at[many])
+            gone = np.sort(np.concatenate((i[~differs & ~twin], stay[known])))
+            stay = np.concatenate((stay[~known], i[differs]))
             fresh = np.flatnonzero(np.append(True, (of[gone][1:] != of[gone][:-1]) | (first[gone][1:] != first[gone][:-1] + count[gone][:-1]))) if len(gone) else gone
             g = gone[fresh]
             end = np.maximum.reduceat(first[gone] + count[gone], fresh) + length - 1 if len(gone) else g
-            spread = mix(d1[g].view(np.uint64) ^ tie[g].astype(np.uint64))
             yield pa.record_batch({
-                "deal": pa.array(np.append(deal[stay], spread).view(np.int64)), "content": pa.array(np.append(content[stay].view(np.int64), end - first[g])),
-                "d1": pa.array(np.append(d1[stay], d1[g])), "at": pa.array(np.append(at[stay], _at(tie[g], first[g] - offsets[of[g]], 0))),
+                "deal": pa.array(np.append(deal[stay], mix(d1[g].view(np.uint64))).view(np.int64)), "content": pa.array(np.append(content[stay].view(np.int64), end - first[g])),
+                "d1": pa.array(np.append(d1[stay], d1[g])), "at": pa.array(np.append(at[stay], (first[g] - offsets[of[g]] + base) << _COUNT_BITS)),
             })
 
 
@@ -201,7 +267,7 @@ class RunIndex:
     def matching_statistics(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each place of each pattern (bytes of data), the length of the longest match of what follows in the pattern: an array [pattern, place], read from the right end. All patterns are streamed side by side."""
         m, most = len(starts), int(sizes.max())
-        out = np.zeros((m, most), np.int64)
+        out = np.zeros((m, most), np.int16)
         row, pos, length = np.zeros(m, np.int64), np.full(m, self.first[0]), np.zeros(m, np.int64)
         width = len(self.starts) + 1
         order = np.argsort(-sizes, kind="stable")
@@ -317,34 +383,32 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         for part in slices(batch):
             raw, offsets = text_bytes(part.column("text"))
             lists = part.column("want")
-            of = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-            want = lists.flatten()
-            at = want.field("at").to_numpy()
-            start = offsets[of] + ((at >> _COUNT_BITS) & ((1 << _START_BITS) - 1))
-            size = (at & 0xFF) + length - 1
-            bounds = np.append(0, np.cumsum(size))
-            data = raw[np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)]
-            pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
-            yield pa.record_batch({"deal": want.field("deal"), "d1": part.column("d1").take(pa.array(of)), "at": want.field("at"), "piece": pieces})
+            rows, wants = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), lists.flatten()
+            for k in range(0, len(rows), AT_ONCE):
+                of, want = rows[k : k + AT_ONCE], wants.slice(k, AT_ONCE)
+                at = want.field("at").to_numpy()
+                start, size = offsets[of] + (at >> _COUNT_BITS), (at & 0xFF) + length - 1
+                bounds = np.append(0, np.cumsum(size))
+                data = raw[np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)]
+                pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+                yield pa.record_batch({"deal": want.field("deal"), "d1": part.column("d1").take(pa.array(of)), "at": want.field("at"), "piece": pieces})
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The windows of pieces (deal, d1, at, piece) by two hashes: (h1, h2, d1, at, n null) for the earliest of equal ones at hand, with 1 for its number of windows in `at`; the others are
     removed: stretches (d1, at, n)."""
-    hasher = Hasher()
     for batch in batches:
-        for k in range(0, batch.num_rows, 2048):
-            part = batch.slice(k, 2048)
+        for k in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(k, AT_ONCE)
             pieces = part.column("piece").cast(pa.large_binary())
             bounds = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, pieces.offset * 8)
-            data = np.frombuffer(pieces.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+            grams = Grams(np.frombuffer(pieces.buffers()[2], np.uint8)[bounds[0] : bounds[-1]])
             at = part.column("at").to_numpy()
             count = at & 0xFF
             of = np.repeat(np.arange(len(at)), count)
             step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             start = bounds[of] - bounds[0] + step
-            h1 = hasher.spans(hasher.prefix(data), start, start + length)
-            h2 = hasher.spans(hasher.prefix(data[::-1]), len(data) - start - length, len(data) - start)
+            h1, h2 = (grams.spans(start, start + length, seed) for seed in (1, 2))
             places = (at[of] & ~np.int64(0xFF)) + (step << _COUNT_BITS) + 1
             d1 = part.column("d1").to_numpy()[of]
             order = np.lexsort((places, d1, h2, h1))
@@ -374,61 +438,71 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, spans in enumerate(part.column("spans")):
                 text = raw[offsets[k] : offsets[k + 1]]
                 if spans.is_valid and len(spans):
-                    s = spans.values
-                    start = s.field("start").to_numpy()
-                    change = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(change, start, 1)
-                    np.add.at(change, start + s.field("n").to_numpy(), -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    n_removed.append(int(gone.sum()))
-                    n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                    text = text[~gone]
+                    start, n = (spans.values.field(c).to_numpy() for c in ("start", "n"))
+                    order = np.argsort(start, kind="stable")
+                    start, end = start[order], np.maximum.accumulate((start + n)[order])
+                    fresh = np.append(True, start[1:] > end[:-1])  # touching stretches are one
+                    a, b = start[fresh], end[np.append(np.flatnonzero(fresh)[1:] - 1, len(end) - 1)]
+                    n_removed.append(int((b - a).sum()))
+                    n_spans.append(len(a))
+                    kept.append(b"".join(text[x:y].tobytes() for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)))
                 else:
                     n_removed.append(0)
                     n_spans.append(0)
-                kept.append(text.tobytes())
+                    kept.append(text.tobytes())
             yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, d1, text), where d1 tells documents apart and orders them: doc_id, or where it is null or one has several texts in the table, a number of distinct (doc_id, text) in order."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    hashes = base.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    several = hashes.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("doc_id IS NULL OR a <> b")
+    if several.isEmpty():
+        return base.select("doc_id", F.col("doc_id").alias("d1"), "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("h1"), F.asc("h2")]
+    numbers = materialize(hashes.distinct().repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("d1", F.monotonically_increasing_id()), "numbers")
+    numbers = numbers.select(F.col("doc_id").alias("id"), "h1", "h2", "d1")
+    keyed = base.select("*", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    return materialize(keyed.join(numbers, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "d1", "text"), "numbered", free=True)
+
+
 def _start(at: Column) -> Column:
-    return F.shiftright(at, _COUNT_BITS).bitwiseAND(F.lit((1 << _START_BITS) - 1)).alias("start")
+    return F.shiftright(at, _COUNT_BITS).alias("start")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, most: int = SLICE_BYTES) -> DataFrame:
     """docs(doc_id, text) to (doc_id, n_bytes, n_removed, n_spans, kept binary): each text, as UTF-8 bytes, without the bytes that lie in a string of `length` bytes which also starts earlier:
     in a document with smaller doc_id, or earlier in the same one. Strings are judged on the input and never cross documents.
 
     n_spans counts maximal removed runs; kept holds the bytes left, which may cut a character. A null text is empty; documents without doc_id come before all others. Rows that repeat a doc_id
-    with other texts are documents in an arbitrary but fixed order; rows that repeat doc_id and text are one document and each get its result. Texts of less than `length` bytes stay whole. An empty table
-    gives no rows. Other columns are ignored. `length` is from 40 to 286.
+    with other texts are documents of their own in an arbitrary but fixed order, and so are rows without doc_id; rows that repeat doc_id and text are one document and each get its result. Texts of less than `length`
+    bytes stay whole. An empty table gives no rows. Other columns are ignored. `length` is from 40 to 286; `most` bytes of text are cut into pieces at once, which changes no result.
     """
     if not GRAM + 8 <= length <= GRAM + 254:
         raise ValueError("length must be from 40 to 286")
-    tie = F.xxhash64("text").bitwiseAND(F.lit((1 << _TIE_BITS) - 1))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d1"), tie.alias("tie"), "text")
+    base = _numbered(docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = base.mapInArrow(partial(_pieces, length=length), "deal long, content long, d1 long, at long")
+    pieces = base.select("d1", "text").mapInArrow(partial(_pieces, length=length, most=most), "deal long, content long, d1 long, at long")
     dealt = pieces.repartition(n, "deal").sortWithinPartitions("deal", "content", "d1", "at")
-    known = materialize(dealt.mapInArrow(partial(_resolve, length=length), "deal long, d1 long, at long, n long"), "pieces")
+    known = materialize(dealt.mapInArrow(partial(_resolve, length=length), "deal long, d1 long, at long, n long"), "pieces", free=True)
     rivals = known.where("n IS NULL").select("deal", "d1", "at")
     gone = known.where("n IS NOT NULL").select("d1", "at", "n")
-    tie_of = F.shiftrightunsigned("at", _START_BITS + _COUNT_BITS).alias("tie")
-    by_doc = base.repartition(n, "d1", "tie")  # shuffled once, read by both joins
-    wanted = rivals.groupBy("d1", tie_of).agg(F.collect_list(F.struct("deal", "at")).alias("want"))
-    cut = by_doc.join(wanted.repartition(n, "d1", "tie"), ["d1", "tie"]).select("d1", "text", "want").mapInArrow(partial(_cut_out, length=length), "deal long, d1 long, at long, piece binary")
+    by_doc = base.repartition(n, "d1")  # shuffled once, read by both joins
+    wanted = rivals.groupBy("d1").agg(F.collect_list(F.struct("deal", "at")).alias("want"))  # at most one for some 30 bytes of a document
+    cut = by_doc.join(wanted.repartition(n, "d1"), "d1").select("d1", "text", "want").mapInArrow(partial(_cut_out, length=length), "deal long, d1 long, at long, piece binary")
     crowds = materialize(rivals.groupBy("deal").count().where(F.col("count") > CROWD).select("deal"), "crowds")
-    if crowds.isEmpty():
-        few = cut
-    else:
+    few = cut
+    if not crowds.isEmpty():
         few = cut.join(crowds, "deal", "left_anti")
-        salted = cut.join(crowds, "deal", "left_semi").repartition(n, "deal", F.pmod(F.xxhash64("d1"), F.lit(SALTS)))
-        single = salted.sortWithinPartitions("deal", "d1", "at").mapInArrow(partial(_windows, length=length), "h1 long, h2 long, d1 long, at long, n long")
+        crowd = cut.join(crowds, "deal", "left_semi")
+        single = crowd.sortWithinPartitions("deal", "d1", "at").mapInArrow(partial(_windows, length=length), "h1 long, h2 long, d1 long, at long, n long")
         alone = single.where("n IS NULL").select("h1", "h2", "d1", "at")
         lead = alone.groupBy("h1", "h2").agg(F.min(F.struct("d1", "at")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "lead")
         late = alone.join(lead, ["h1", "h2"]).where(F.struct("d1", "at") > F.col("lead")).select("d1", "at", F.lit(length).cast("long").alias("n"))
         gone = gone.unionByName(late).unionByName(single.where("n IS NOT NULL").select("d1", "at", "n"))
     matched = few.repartition(n, "deal").sortWithinPartitions("deal", "d1", "at").mapInArrow(partial(_match, length=length), "d1 long, at long, n long")
-    spans = gone.unionByName(matched).groupBy("d1", tie_of).agg(F.collect_list(F.struct(_start(F.col("at")), "n")).alias("spans"))
-    joined = by_doc.join(spans.repartition(n, "d1", "tie"), ["d1", "tie"], "left")
+    spans = gone.unionByName(matched).groupBy("d1").agg(F.collect_list(F.struct(_start(F.col("at")), "n")).alias("spans"))
+    joined = by_doc.join(spans.repartition(n, "d1"), "d1", "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -100,3 +100,36 @@ def test_stream_of_pieces_in_any_batches():
         out = [x for b in R._resolve(table.to_batches(max_chunksize=size), 50) for x in b.to_pylist()]
         assert sorted((x["d1"], x["at"]) for x in out if x["n"] is not None) == sorted(want_gone)
         assert sorted((x["deal"], x["d1"], x["at"]) for x in out if x["n"] is None) == sorted(want_rival)
+
+
+def test_many_texts_without_doc_id_and_repeated_ids(spark):
+    """Each is a document of its own, in some order: what is removed adds up to what the distinct strings leave, whatever the order."""
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefgh"))
+    rows = [(None, "".join(rng.choice(letters, 120))) for _ in range(20000)]
+    rows += [(5, "".join(rng.choice(letters, 120))) for _ in range(300)]
+    shared = "".join(rng.choice(letters, 110))
+    rows += [(None, "x" + shared), (5, "y" + shared), (6, shared)]
+    got = R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100).select("doc_id", "n_bytes", "n_removed").collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id, r.n_removed) for r in got if r.n_removed) == [(5, 110), (6, 110)]
+
+
+@pytest.mark.parametrize("most", [60, 250])
+def test_long_texts_are_read_in_parts(spark, most):
+    rng = np.random.default_rng(7)
+    long = "".join(rng.choice(list("abé "), 3000))
+    rows = [(1, long[:700]), (2, long + long[500:900]), (3, "q" + long[1000:1400]), (4, long), (5, "x" * 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = R.remove_repeats(df, 50, most=most).withColumn("kept", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 50)
+
+
+def test_a_task_remembers_classes_of_its_slices():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    shared = "".join(rng.choice(list("abcdefgh"), 300))
+    batch = pa.record_batch({"d1": pa.array(range(200)), "text": pa.array([f"{i:03d}" + shared for i in range(200)])})
+    n = [sum(1 for b in R._pieces(iter([batch]), 100, most) for a in b.column("at").to_pylist() if a & 0xFF) for most in (2 << 20, 3000)]
+    assert n[1] <= n[0] + 20 * 10
