@@ -1,6 +1,7 @@
 """Token arrays: the built-in tokenizer, and the look-ahead folds, row by row without a shuffle.
 
-A token is struct(sf, p): surface and class. Real analyzers are providers (providers.py) that give the same arrays, with lemma and details."""
+A token is struct(sf, p, l, d): surface, class, lemma and detailed class. A null lemma is the surface, * a word that the analyzer's dictionary lacks; a null detailed class is the class. Analyzers are providers (providers.py)
+that give such arrays."""
 
 from __future__ import annotations
 
@@ -26,13 +27,24 @@ def word_class(word: Column) -> Column:
     )
 
 
+def token(surface: Column, kind: Column, lemma: Column | None = None, detail: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(surface.alias("sf"), kind.alias("p"), (none if lemma is None else lemma).alias("l"), (none if detail is None else detail).alias("d"))
+
+
 def tag(word_array: Column) -> Column:
-    return F.transform(word_array, lambda w: F.struct(w.alias("sf"), word_class(w).alias("p")))
+    return F.transform(word_array, lambda w: token(w, word_class(w)))
+
+
+def valid(nodes: Column, least_features: int = 8, marks: tuple[int, ...] = (2, 3)) -> Column:
+    """Tokens of an analyzer's raw nodes struct(sf, p, l, d, n, stat): without blank surfaces, marks of the beginning and end of sentences (by stat), and nodes of too few features (n)."""
+    fine = F.filter(nodes, lambda t: (F.trim(t["sf"]) != "") & ~t["stat"].isin(*marks) & (t["n"] >= least_features))
+    return F.transform(fine, lambda t: token(t["sf"], t["p"], t["l"], t["d"]))
 
 
-def without_blank(tokens: Column) -> Column:
-    """Tokens with a surface, no matter what marks of sentence ends an analyzer adds."""
-    return F.filter(tokens, lambda t: F.trim(t["sf"]) != "")
+def wakati(tokens: Column) -> Column:
+    """Surfaces with a space between."""
+    return F.array_join(F.transform(tokens, lambda t: t["sf"]), " ")
 
 
 def _fold(tokens: Column, profile: Profile, keep_loose_auxiliaries: bool, element: str, first, longer) -> Column:
@@ -57,12 +69,12 @@ def corpus_tokens(tokens: Column, profile: Profile) -> Column:
 
 
 def vocabulary_tokens(tokens: Column, profile: Profile) -> Column:
-    """array<struct(lemma, pos, surface)>: only the surface grows; an auxiliary on its own is left out."""
-    lemma = lambda x: F.when(F.trim(x["sf"]).isin("", "*"), F.lit("")).otherwise(x["sf"])
+    """array<struct(lemma, pos, surface, detail, unknown)>: only the surface grows; an auxiliary on its own is left out."""
+    lemma = lambda x: F.when(F.trim(x["sf"]).isin("", "*"), F.lit("")).otherwise(lemma_or_surface(x["l"], x["sf"]))
     return _fold(
-        tokens, profile, False, "struct<lemma:string,pos:string,surface:string>",
-        lambda x: F.struct(lemma(x).alias("lemma"), x["p"].alias("pos"), x["sf"].alias("surface")),
-        lambda last, x: F.struct(last["lemma"].alias("lemma"), last["pos"].alias("pos"), F.concat(last["surface"], x["sf"]).alias("surface")),
+        tokens, profile, False, "struct<lemma:string,pos:string,surface:string,detail:string,unknown:boolean>",
+        lambda x: F.struct(lemma(x).alias("lemma"), x["p"].alias("pos"), x["sf"].alias("surface"), F.coalesce(x["d"], x["p"]).alias("detail"), F.coalesce(F.trim(x["l"]) == "*", F.lit(False)).alias("unknown")),
+        lambda last, x: F.struct(last["lemma"].alias("lemma"), last["pos"].alias("pos"), F.concat(last["surface"], x["sf"]).alias("surface"), last["detail"].alias("detail"), last["unknown"].alias("unknown")),
     )
 
 

@@ -4,6 +4,11 @@ Ties go by word, so results are the same in any partitioning. Items are few next
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +16,13 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..functions import tokens as T
 from ..profiles import Profile
+from ..providers import WordTokenizer, analyzed, token_info
+from ..sources.workspace import materialize
 from .counts import both_ways
 
 OVERFETCH = 200
+#: Vectors that are searched for at once, and rows that they are compared with at once.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 
 
 def make_items(tagged: DataFrame, profile: Profile, key: str = "item_id") -> DataFrame:
@@ -25,7 +34,7 @@ def make_items(tagged: DataFrame, profile: Profile, key: str = "item_id") -> Dat
     return found.select(key, F.array_join(word, " ").alias("sentence"), F.get("x.toks", F.col("x.k"))["sf"].alias("target"))
 
 
-def locate(items: DataFrame, profile: Profile, tag=lambda text: T.tag(T.words(text))) -> DataFrame:
+def locate(items: DataFrame, profile: Profile, tokenizer=None) -> DataFrame:
     """items(item_id, sentence, target) with left and right (tokens around the blank), prev_word and next_word, and lemma and pos of the target in its context.
 
     The target is looked for where as many vocabulary tokens stand before it as before the blank, and taken if that surface contains it; else it is the first token with its surface; else lemma and pos are null. Without
@@ -33,8 +42,9 @@ def locate(items: DataFrame, profile: Profile, tag=lambda text: T.tag(T.words(te
     mark = profile.placeholder
     at = F.instr("sentence", mark)
     has = at > 0
-    rows = items.withColumn("left", F.when(has, tag(F.substring("sentence", F.lit(1), at - 1)))).withColumn("right", F.when(has, tag(F.substring("sentence", at + len(mark), F.length("sentence")))))
-    rows = rows.withColumn("_all", F.when(has, T.vocabulary_tokens(tag(X.fill_first(F.col("sentence"), F.col("target"), profile)), profile)))
+    sides = {"left": F.substring("sentence", F.lit(1), at - 1), "right": F.substring("sentence", at + len(mark), F.length("sentence")), "_all": X.fill_first(F.col("sentence"), F.col("target"), profile)}
+    rows = analyzed(items, "item_id", tokenizer or WordTokenizer(), **{name: F.when(has, text) for name, text in sides.items()})
+    rows = rows.withColumn("_all", T.vocabulary_tokens(F.col("_all"), profile))
     before, after = T.corpus_tokens(F.col("left"), profile), T.corpus_tokens(F.col("right"), profile)
     there = F.get("_all", F.size(T.vocabulary_tokens(F.col("left"), profile)))
     same = F.get(F.filter("_all", lambda t: t["surface"] == F.col("target")), 0)
@@ -61,55 +71,122 @@ def _targets(items: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return items.join(vocabulary.select("lemma", "pos", F.col("frequency").alias("target_frequency")), ["lemma", "pos"])
 
 
-def _same_class(items: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    words = vocabulary.select("pos", F.col("lemma").alias("word"), "frequency")
-    pool = _targets(items, vocabulary).join(words, "pos").where("word <> lemma")
-    return pool.withColumn("score", S.frequency_distance(F.col("frequency"), F.col("target_frequency")).cast("double"))
+def _ladder(words: DataFrame, n: int, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """words(keys, frequency, word) by rungs, the words of one frequency: (keys, frequency, word) with the first n + 1 of each rung, which are all that a list of n can take from it, and (keys, frequency, c), how many
+    words a rung has for certain that no other rung has, too. Both are as large as there are different frequencies, not as the vocabulary."""
+    clean = words.withColumn("cleaned", X.clean_lemma(F.col("word")))
+    one = clean.groupBy(*keys, "frequency", "cleaned").agg(F.min("word").alias("word"))
+    first = one.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "frequency").orderBy("cleaned"))).where(F.col("r") <= n + 1)
+    return first.select(*keys, "frequency", "word"), clean.groupBy(*keys, "frequency").agg(F.count_if(F.col("word") == F.col("cleaned")).alias("c"))
+
+
+def _closest(targets: DataFrame, words: DataFrame, n: int, *keys: str) -> DataFrame:
+    """targets(item_id, lemma, keys, target_frequency) with the words of the same keys on the rungs that are closest in frequency: as many rungs as surely hold the best n."""
+    ladder, rungs = (materialize(x, "rungs") for x in _ladder(words, n, *keys))
+    asked = targets.select(*keys, "target_frequency").distinct().join(rungs, list(keys)).withColumn("d", S.frequency_distance(F.col("frequency"), F.col("target_frequency")).cast("long"))
+    nearer = Window.partitionBy(*keys, "target_frequency").orderBy("d").rangeBetween(Window.unboundedPreceding, -1)
+    near = asked.withColumn("before", F.coalesce(F.sum("c").over(nearer), F.lit(0))).where(F.col("before") < n + 1)
+    found = near.join(ladder, [*keys, "frequency"]).select(*keys, "target_frequency", "word", F.col("d").cast("double").alias("score"))
+    return targets.join(found, [*keys, "target_frequency"])
 
 
 def baseline(items: DataFrame, vocabulary: DataFrame, n: int = 20) -> DataFrame:
     """Words of the target's class with the closest frequency."""
-    return ranked(_same_class(items, vocabulary.where("frequency > 0")), n)
+    words = vocabulary.where("frequency > 0").select("pos", F.col("lemma").alias("word"), "frequency")
+    return ranked(_closest(_targets(items, vocabulary).select("item_id", "lemma", "pos", "target_frequency"), words, n, "pos"), n)
 
 
 def spelling(items: DataFrame, vocabulary: DataFrame, profile: Profile, n: int = 20) -> DataFrame:
-    """Those among them that share a character of the script with the target."""
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: (X.script_count(x, profile) > 0) & ~x.isin(*profile.ignored_characters or ("",)))
-    return ranked(_same_class(items, vocabulary).where(F.arrays_overlap(letters(F.col("lemma")), letters(F.col("word")))), n)
-
-
-def nearest(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """queries(item_id, word) against all vectors(word, vec): (item_id, word, score), the cosine, without the query's own word. Vectors are scaled to length 1 once."""
-    length = F.sqrt(S.dot(F.col("vec"), F.col("vec")))
-    unit = vectors.select("word", F.transform("vec", lambda x: x.cast("double") / F.nullif(length, F.lit(0.0))).alias("unit"))
-    mine = queries.join(unit, "word").select("item_id", F.col("word").alias("own"), F.col("unit").alias("q"))
-    return unit.join(mine, F.col("word") != F.col("own")).select("item_id", "word", F.round(S.dot(F.col("unit"), F.col("q")), 6).alias("score"))
+    """Those among them that share a character of the script with the target, by way of an index from characters to words."""
+
+    def letters(rows: DataFrame, word: str) -> DataFrame:
+        each = rows.withColumn("ch", F.explode(F.array_distinct(F.split(word, ""))))
+        return each.where((X.script_count(F.col("ch"), profile) > 0) & ~F.col("ch").isin(*profile.ignored_characters or ("",)))
+
+    targets = letters(_targets(items, vocabulary).select("item_id", "lemma", "pos", "target_frequency"), "lemma")
+    words = letters(vocabulary.select("pos", F.col("lemma").alias("word"), "frequency"), "word")
+    return ranked(_closest(targets, words, n, "pos", "ch"), n)
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Rows scaled to length 1; one that is null, without length or of another size than the first is all NaN."""
+    sizes = vectors.value_lengths().fill_null(0).to_numpy()
+    width = int(sizes.max()) if len(sizes) else 0
+    out = np.full((len(vectors), width), np.nan)
+    whole = sizes == width
+    flat = vectors.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).astype(float)
+    out[whole] = flat.reshape(-1, width) if width else out[whole]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def _block_best(batches: Iterator[pa.RecordBatch], item: np.ndarray, own: np.ndarray, asked: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """For each asked vector the k best rows of each block by cosine, with all that are equal to the last one up to rounding."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROW_BLOCK):
+            rows = batch.slice(a, ROW_BLOCK)
+            unit = _unit(rows.column("vec"))
+            if unit.shape[1] != asked.shape[1]:
+                continue
+            word = np.array(rows.column("word").to_pylist(), object)
+            cosine = asked @ unit.T
+            cosine[np.isnan(cosine) | (own[:, None] == word[None, :])] = -np.inf
+            last = np.partition(cosine, -k, axis=1)[:, -k] if len(word) > k else np.full(len(own), -np.inf)
+            q, r = np.nonzero((cosine >= last[:, None] - 1e-6) & (cosine > -np.inf))
+            yield pa.record_batch({"item_id": pa.array(item[q]), "word": pa.array(word[r], pa.string()), "score": pa.array(cosine[q, r])})
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """queries(item_id, word) against all vectors(word, vec): the k best (item_id, rank, word, score) of each by cosine, without its own word.
+
+    Queries are taken in blocks of bounded size, each of which is compared with all vectors as matrices; of each block of rows only the k best travel."""
+    mine = materialize(queries.join(vectors, "word").select("item_id", "word", F.col("vec").cast("array<double>").alias("vec"), F.xxhash64("item_id", "word").alias("_h")), "queries")
+    blocks = mine.count() // QUERY_BLOCK + 1
+    rows = vectors.select("word", F.col("vec").cast("array<double>").alias("vec"))
+    out = None
+    for b in range(blocks):
+        block = mine.where(F.pmod("_h", F.lit(blocks)) == b).toArrow()  # about QUERY_BLOCK rows
+        search = partial(_block_best, item=block.column("item_id").to_numpy().astype(np.int64), own=np.array(block.column("word").to_pylist(), object), asked=_unit(block.column("vec").combine_chunks()), k=k)
+        found = rows.mapInArrow(search, "item_id long, word string, score double")
+        out = found if out is None else out.unionByName(found)
+    return best(out.withColumn("score", F.round("score", 6)), k)
 
 
 def similarity(queries: DataFrame, vectors: DataFrame, n: int = 20) -> DataFrame:
-    return best(nearest(queries, vectors), n)
+    return nearest(queries, vectors, n)
 
 
 def similarity_in_band(queries: DataFrame, vectors: DataFrame, profile: Profile, n: int = 20) -> DataFrame:
     """queries(item_id, word, context): the nearest 200 first, then the band of the context, then the best n."""
-    near = best(nearest(queries, vectors), OVERFETCH).join(queries.select("item_id", "context"), "item_id")
+    near = nearest(queries, vectors, OVERFETCH).join(queries.select("item_id", "context"), "item_id")
     return best(near.where(S.in_band(F.col("context"), F.col("score"), profile.similarity_bands)).select("item_id", "word", "score"), n)
 
 
-def cooccurring(items: DataFrame, pairs: DataFrame, vocabulary: DataFrame, n_sentences: Column | int, contextual: bool, n: int = 20, word_class=T.word_class) -> DataFrame:
+def with_vector(items: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(item_id, word, context) of located items whose target was found in its sentence: the target if it has a vector, else its lemma if that has one."""
+    known = vectors.select(F.col("word").alias("known"))
+    either = items.where("lemma IS NOT NULL").select("item_id", "context", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("target").alias("word")), F.struct(F.lit(1).alias("k"), F.col("lemma").alias("word")))).alias("w"))
+    have = either.join(known, F.col("w.word") == F.col("known"), "left_semi")
+    return have.groupBy("item_id").agg(F.min_by("w.word", "w.k").alias("word"), F.any_value("context").alias("context"))
+
+
+def cooccurring(items: DataFrame, pairs: DataFrame, vocabulary: DataFrame, profile: Profile, n_sentences: Column | int, contextual: bool, n: int = 20, tokenizer=None) -> DataFrame:
     """Words of the target's class found in sentences with it, by mutual information; with `contextual` by its square variant in OPEN contexts.
 
-    Pairs are looked up by the target's surface, by its lemma only if the surface has none."""
+    Pairs are looked up by the target's surface, by its lemma only if the surface has none. What is found is analyzed by itself; of the surfaces of one lemma the one with the most common sentences stands for it."""
     index = both_ways(pairs)
     targets = _targets(items, vocabulary)
     by_surface = targets.join(index, targets.target == index.word)
     none = targets.join(index.select(F.col("word").alias("target")).distinct(), "target", "left_anti")
-    found = by_surface.unionByName(none.join(index, none.lemma == index.word))
-    words = vocabulary.select(F.col("lemma").alias("other"), F.col("pos").alias("other_pos"), "frequency")
-    known = found.join(words, "other").where((F.col("other_pos") == F.col("pos")) & (word_class(F.col("other")) == F.col("pos")) & (F.col("other") != F.col("lemma")))
-    args = (F.col("cnt"), F.col("target_frequency"), F.col("frequency"), F.lit(n_sentences) if isinstance(n_sentences, int) else n_sentences)
+    found = materialize(by_surface.unionByName(none.join(index, none.lemma == index.word)).select("item_id", "lemma", "pos", "context", "target_frequency", "other", "cnt", *([] if isinstance(n_sentences, int) else [n_sentences.alias("n_sentences")])), "found")
+    info = token_info(found.select(F.col("other").alias("word")), tokenizer or WordTokenizer(), profile).select(F.col("word").alias("other"), F.col("lemma").alias("other_lemma"), "pos")
+    known = found.join(info, ["other", "pos"])
+    known = known.withColumn("r", F.row_number().over(Window.partitionBy("item_id", "other_lemma").orderBy(F.desc("cnt"), "other"))).where("r = 1")
+    words = vocabulary.select(F.col("lemma").alias("other_lemma"), "pos", "frequency")
+    known = known.join(words, ["other_lemma", "pos"]).where(F.col("other_lemma") != F.col("lemma"))
+    args = (F.col("cnt"), F.col("target_frequency"), F.col("frequency"), F.lit(n_sentences) if isinstance(n_sentences, int) else F.col("n_sentences"))
     score = S.by_context(F.col("context"), *args) if contextual else S.pmi(*args)
-    scored = known.select("item_id", "lemma", F.col("other").alias("word"), F.round(score, 6).alias("score")).where("score IS NOT NULL")
+    scored = known.select("item_id", "lemma", F.col("other_lemma").alias("word"), F.round(score, 6).alias("score")).where("score IS NOT NULL")
     return ranked(scored, n, descending=True)
 
 

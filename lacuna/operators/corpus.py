@@ -40,5 +40,12 @@ def reader_counters(articles: DataFrame, sents: DataFrame, key: str = "doc_id")
     return articles.agg(F.count("*").alias("n_articles")).join(F.broadcast(with_any))
 
 
+def file_counters(lines: DataFrame, sents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for the lines of readers.articles(): files, broken lines, articles, articles with a sentence, sentences."""
+    read = lines.agg(F.count_distinct("file").alias("n_files"), F.count_if("broken").alias("n_broken"), F.count_if(~F.col("broken")).alias("n_articles"))
+    with_any = sents.agg(F.count_distinct(key).alias("n_with_sentences"), F.count("*").alias("n_sentences"))
+    return read.join(F.broadcast(with_any))  # one row each
+
+
 def statistics(articles: DataFrame, profile: Profile, key: str = "doc_id") -> DataFrame:
     return articles.select(key, *[c.alias(n) for n, c in X.character_statistics(F.coalesce("text", F.lit("")), profile).items()])

@@ -11,15 +11,22 @@ from ..functions import tokens as T
 from ..profiles import Profile
 
 
+def folded(tagged: DataFrame, profile: Profile) -> DataFrame:
+    """Adds what the look-ahead folds make of toks, for tables that several counts are made from: tokens (for the corpus) and vocab (for the vocabulary)."""
+    return tagged.withColumn("tokens", T.corpus_tokens(F.col("toks"), profile)).withColumn("vocab", T.vocabulary_tokens(F.col("toks"), profile))
+
+
 def vocabulary_rows(tagged: DataFrame, profile: Profile, *keys: str) -> DataFrame:
-    """(keys, k, lemma, pos, surface) of toks."""
-    rows = tagged.select(*keys, F.posexplode(T.vocabulary_tokens(F.col("toks"), profile)).alias("k", "t"))
-    return rows.select(*keys, F.col("k").cast("long").alias("k"), "t.lemma", "t.pos", "t.surface").where("lemma <> ''")
+    """(keys, k, lemma, pos, surface, detail, unknown) of toks, or of folded()."""
+    vocab = F.col("vocab") if "vocab" in tagged.columns else T.vocabulary_tokens(F.col("toks"), profile)
+    rows = tagged.select(*keys, F.posexplode(vocab).alias("k", "t"))
+    return rows.select(*keys, F.col("k").cast("long").alias("k"), "t.*").where("lemma <> ''")
 
 
 def corpus_rows(tagged: DataFrame, profile: Profile, *keys: str) -> DataFrame:
-    """(keys, tokens) of sentences with a token."""
-    return tagged.select(*keys, T.corpus_tokens(F.col("toks"), profile).alias("tokens")).where(F.size("tokens") > 0)
+    """(keys, tokens) of sentences with a token, of toks or of folded()."""
+    tokens = F.col("tokens") if "tokens" in tagged.columns else T.corpus_tokens(F.col("toks"), profile)
+    return tagged.select(*keys, tokens.alias("tokens")).where(F.size("tokens") > 0)
 
 
 def word_frequencies(rows: DataFrame) -> DataFrame:
@@ -27,15 +34,31 @@ def word_frequencies(rows: DataFrame) -> DataFrame:
 
 
 def word_details(rows: DataFrame) -> DataFrame:
-    """With the surfaces and classes of each word, sorted, and how often the dictionary lacked it (a lemma equal to the surface is no sign, so that comes as a column `unknown` where known)."""
-    unknown = F.col("unknown") if "unknown" in rows.columns else F.lit(False)
-    detail = F.col("pos_detailed") if "pos_detailed" in rows.columns else F.col("pos")
+    """With the surfaces and detailed classes of each word, sorted, and how often the dictionary lacked it."""
     return rows.groupBy("lemma", "pos").agg(
-        F.sort_array(F.collect_set("surface")).alias("surface_forms"), F.sort_array(F.collect_set(detail)).alias("detailed_pos_tags"),
-        F.count("*").alias("frequency"), F.sum(unknown.cast("long")).alias("unknown_by_dict_count"),
+        F.sort_array(F.collect_set("surface")).alias("surface_forms"), F.sort_array(F.collect_set("detail")).alias("detailed_pos_tags"),
+        F.count("*").alias("frequency"), F.sum(F.col("unknown").cast("long")).alias("unknown_by_dict_count"),
     )
 
 
+def unknown_sample(rows: DataFrame, sents: DataFrame, *keys: str, n: int = 1000, context: int = 50) -> DataFrame:
+    """(keys, k, surface, detail, context): the first n words in order of keys that the dictionary lacked, each with the beginning of its sentence (sents: keys, sent)."""
+    few = rows.where("unknown").select(*keys, "k", "surface", "detail").orderBy(*keys, "k").limit(n)
+    start = F.concat(F.substring("sent", F.lit(1), F.lit(context)), F.lit("..."))
+    return few.join(sents.select(*keys, "sent"), list(keys)).select(*keys, "k", "surface", "detail", start.alias("context"))
+
+
+def words_of_texts(texts: DataFrame, key: str) -> DataFrame:
+    """(key, word, cnt) of toks: how often each surface is found in each text."""
+    return texts.select(key, F.explode("toks").alias("t")).select(key, F.col("t.sf").alias("word")).groupBy(key, "word").agg(F.count("*").alias("cnt"))
+
+
+def vocabulary_sizes(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row: different (lemma, class), lemmas and surfaces of vocabulary rows, and different tokens of the corpus."""
+    own = rows.agg(F.count_distinct("lemma", "pos").alias("n_words"), F.count_distinct("lemma").alias("n_lemmas"), F.count_distinct("surface").alias("n_surfaces"))
+    return own.join(F.broadcast(corpus.select(F.explode("tokens").alias("t")).agg(F.count_distinct("t").alias("n_tokens"))))  # one row each
+
+
 def merge_counts(*tables: DataFrame, keys: tuple[str, ...] = ("lemma", "pos"), count: str = "frequency") -> DataFrame:
     """The sum of several count tables."""
     out = tables[0]

@@ -1,8 +1,8 @@
-"""Looking into the counts. Random samples take a seed; the rest has a total order."""
+"""Looking into the counts. Everything has a total order; a random sample is one by the hash of a seed and the keys, so that it can be drawn again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,11 +28,18 @@ def relations_with(deps: DataFrame, word: str) -> DataFrame:
     return deps.where((F.col("head") == word) | (F.col("child") == word))
 
 
-def sample(df: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(n)
+def _draw(*parts: Column | str) -> Column:
+    return F.md5(F.concat_ws("|", *parts))
+
+
+def sample(df: DataFrame, n: int, *keys: str, seed: int = 1) -> DataFrame:
+    """n rows at random, each at most once."""
+    return df.orderBy(_draw(F.lit(seed), *keys), *keys).limit(n)
 
 
 def sample_by_word(by_word: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """n words at random, then a relation of each at random."""
-    one = by_word.withColumn("r", F.rand(seed)).groupBy("word").agg(F.min_by(F.struct("dep", "head", "child"), "r").alias("x"))
-    return sample(one.select("word", "x.dep", "x.head", "x.child"), n, seed)
+    """(draw, word, dep, head, child): n draws with replacement of a word, each as likely, and of a relation of that word. Every draw is a minimum, which is combined before the shuffle."""
+    draws = by_word.select("word").distinct().select("word", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("draw"))
+    words = draws.groupBy("draw").agg(F.min_by("word", F.struct(_draw(F.lit(seed), "draw", "word"), "word")).alias("word"))
+    relations = by_word.join(words, "word").groupBy("draw", "word").agg(F.min(F.struct(_draw(F.lit(seed), "draw", "dep", "head", "child").alias("h"), "dep", "head", "child")).alias("x"))
+    return relations.select("draw", "word", "x.dep", "x.head", "x.child")

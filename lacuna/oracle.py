@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .sources.literal import ITEMS as ITEMS_IN_CODE
+
 SCRIPT = r"[A-Za-z\x{00C0}-\x{024F}]"
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 EDGE = r"^[^a-z\x{00E0}-\x{024F}]+|[^a-z\x{00E0}-\x{024F}]+$"
@@ -22,10 +24,17 @@ def word_class(w: str) -> str:
     )
 
 
-def tokens(name: str, source: str, keys: str = "key, sent_no") -> str:
+def lemma(w: str) -> str:
+    """The lemma of the inflecting tokenizer, * where its dictionary lacks the word."""
+    return f"""CASE WHEN regexp_matches({w}, '[^a-z]') THEN '*'
+  WHEN length({w}) > 5 AND (({word_class(w)} = 'VERB' AND right({w}, 2) IN ('ed', 'er')) OR ({word_class(w)} = 'ADJ' AND right({w}, 2) = 'ly')) THEN left({w}, length({w}) - 2) ELSE {w} END"""
+
+
+def tokens(name: str, source: str, keys: str = "key, sent_no", inflected: bool = False) -> str:
+    more = f", {lemma('w[i]')} AS l, concat({word_class('w[i]')}, '-', right(w[i], 1)) AS d" if inflected else ", NULL AS l, NULL AS d"
     return rf"""
 {name}_w AS (SELECT {keys}, list_filter(list_transform(string_split(sent, ' '), lambda w: regexp_replace(lower(w), '{EDGE}', '', 'g')), lambda w: w <> '') AS w FROM {source}),
-{name} AS (SELECT {keys}, i, w[i] AS sf, {word_class("w[i]")} AS p FROM (SELECT {keys}, w, unnest(range(1, len(w) + 1)) AS i FROM {name}_w))"""
+{name} AS (SELECT {keys}, i, w[i] AS sf, {word_class("w[i]")} AS p{more} FROM (SELECT {keys}, w, unnest(range(1, len(w) + 1)) AS i FROM {name}_w))"""
 
 
 def folded(name: str, source: str, keys: str = "key, sent_no", loose: bool = True) -> str:
@@ -35,12 +44,16 @@ def folded(name: str, source: str, keys: str = "key, sent_no", loose: bool = Tru
 {name}_a AS (SELECT *, last_value(CASE WHEN p <> 'AUX' THEN p END IGNORE NULLS) OVER (PARTITION BY {keys} ORDER BY i) AS anchor FROM {source}),
 {name}_c AS (SELECT *, p = 'AUX' AND coalesce(anchor, '') IN ('VERB', 'ADJ') AS eaten FROM {name}_a),
 {name}_g AS (SELECT *, sum(CASE WHEN eaten THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY i) AS g FROM {name}_c WHERE eaten OR p NOT IN ({out})),
-{name} AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY g) - 1 AS k, lemma, pos, token FROM
-  (SELECT {keys}, g, first(sf ORDER BY i) AS lemma, first(p ORDER BY i) AS pos, string_agg(sf, '' ORDER BY i) AS token FROM {name}_g GROUP BY {keys}, g))"""
+{name} AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY g) - 1 AS k, lemma, pos, token, detail, unknown FROM
+  (SELECT {keys}, g, first(coalesce(nullif(l, '*'), sf) ORDER BY i) AS lemma, first(p ORDER BY i) AS pos, string_agg(sf, '' ORDER BY i) AS token, first(coalesce(d, p) ORDER BY i) AS detail,
+    first(coalesce(l = '*', false) ORDER BY i) AS unknown FROM {name}_g GROUP BY {keys}, g))"""
 
 
 SENT = sentences("sent", "documents", "doc_id")
 TOK = f"{SENT},{tokens('tok', 'sent')}"
+VOC_INFLECTED = f"""{SENT},{tokens('tok', 'sent', inflected=True)},{folded('vt', 'tok', loose=False)}"""
+DETAILS = """SELECT lemma, pos, string_agg(DISTINCT token, ' ' ORDER BY token) AS surface_forms, string_agg(DISTINCT detail, ' ' ORDER BY detail) AS detailed_pos_tags, count(*) AS frequency,
+  CAST(count(*) FILTER (unknown) AS BIGINT) AS unknown_by_dict_count FROM vt GROUP BY lemma, pos"""
 VOC = f"{TOK},{folded('vt', 'tok', loose=False)},\nvoc AS (SELECT lemma, pos, CAST(count(*) AS BIGINT) AS frequency FROM vt GROUP BY lemma, pos)"
 _CT = folded("ct", "tok")
 COR = f"{TOK},{_CT}"
@@ -57,14 +70,18 @@ dn AS (SELECT sf AS head, lead(sf) OVER (PARTITION BY key, sent_no ORDER BY i) A
 dep AS (SELECT 'next' AS dep, head, child, CAST(count(*) AS BIGINT) AS cnt FROM dn WHERE child IS NOT NULL GROUP BY 2, 3 HAVING count(*) >= 3)"""
 PAIRS, TRI, DEP = f"{COR},{_PAIRS}", f"{COR},{_TRI}", f"{TOK},{_DEP}"
 
-_ITEM_TOK = f"{sentences('isent', 'benchmark', 'item_id')},{tokens('itok', 'isent')}"
+
+def item_tokens(inflected: bool = False) -> str:
+    return f"{sentences('isent', 'benchmark', 'item_id')},{tokens('itok', 'isent', inflected=inflected)}"
+
+
 #: it: every token of an item's sentence, with its side of the blank; items: the items.
-ITEMS = f"""{_ITEM_TOK},
+_PICK = """
 pick AS (SELECT key, sent_no, min(i) AS k FROM (SELECT *, max(i) OVER (PARTITION BY key, sent_no) AS n FROM itok) WHERE i - 1 >= floor(n / 2) AND p NOT IN ('PART', 'AUX') GROUP BY key, sent_no),
 one AS (SELECT * FROM pick QUALIFY row_number() OVER (PARTITION BY key ORDER BY sent_no) = 1),
-it AS (SELECT t.key, t.sent_no, t.i, t.sf, t.p, o.k, CASE WHEN t.i < o.k THEN 'L' WHEN t.i > o.k THEN 'R' ELSE 'T' END AS side FROM itok t JOIN one o ON t.key = o.key AND t.sent_no = o.sent_no),
+it AS (SELECT t.key, t.sent_no, t.i, t.sf, t.p, t.l, t.d, o.k, CASE WHEN t.i < o.k THEN 'L' WHEN t.i > o.k THEN 'R' ELSE 'T' END AS side FROM itok t JOIN one o ON t.key = o.key AND t.sent_no = o.sent_no),
 items AS (SELECT key AS item_id, string_agg(CASE WHEN side = 'T' THEN '___' ELSE sf END, ' ' ORDER BY i) AS sentence, max(CASE WHEN side = 'T' THEN sf END) AS target FROM it GROUP BY key)"""
-LOCATED = f"""{ITEMS},
+_LOCATE = f"""
 sides AS (SELECT * FROM it WHERE side <> 'T'),{folded('sc', 'sides', 'key, side')},{folded('sv', 'sides', 'key, side', loose=False)},{folded('av', 'it', 'key', loose=False)},
 nl AS (SELECT key, count(*) AS n FROM sv WHERE side = 'L' GROUP BY key),
 prv AS (SELECT key, last(token ORDER BY k) AS w FROM sc WHERE side = 'L' GROUP BY key), nxt AS (SELECT key, first(token ORDER BY k) AS w FROM sc WHERE side = 'R' GROUP BY key),
@@ -72,6 +89,9 @@ there AS (SELECT i.item_id, a.lemma, a.pos FROM items i LEFT JOIN nl ON nl.key =
 same AS (SELECT i.item_id, first(a.lemma ORDER BY a.k) AS lemma, first(a.pos ORDER BY a.k) AS pos FROM items i JOIN av a ON a.key = i.item_id AND a.token = i.target GROUP BY i.item_id),
 loc AS (SELECT i.*, coalesce(prv.w, 'BOS') AS prev_word, coalesce(nxt.w, 'EOS') AS next_word, coalesce(t.lemma, s.lemma) AS lemma, coalesce(t.pos, s.pos) AS pos FROM items i
   LEFT JOIN prv ON prv.key = i.item_id LEFT JOIN nxt ON nxt.key = i.item_id LEFT JOIN there t ON t.item_id = i.item_id LEFT JOIN same s ON s.item_id = i.item_id)"""
+_ITEM_TOK = item_tokens()
+ITEMS = f"{_ITEM_TOK},{_PICK}"
+LOCATED = f"{ITEMS},{_LOCATE}"
 
 
 def clean(x: str) -> str:
@@ -110,16 +130,25 @@ def pll(name: str, source: str, keys: str) -> str:
 {name} AS (SELECT {joined}, round(sum(ln((coalesce(t.cnt, 0) + 1) / (coalesce(s2.n, 0) + 10000))), 6) AS pll FROM {name}_s s LEFT JOIN tri t ON t.w1 = s.a AND t.w2 = s.w AND t.w3 = s.b LEFT JOIN side2 s2 ON s2.w1 = s.a AND s2.w3 = s.b GROUP BY {joined})"""
 
 
-def cooc(contextual: bool) -> str:
+def cooc(contextual: bool, inflected: bool = False, name: str = "res", n: int = 20) -> str:
+    """Without the tables before: see COOC_BASE."""
     pmi = "log2((cnt / n) / ((tf / n) * (frequency / n)))"
     score = f"CASE WHEN context = 'OPEN' THEN {pmi} + log2(cnt / n) ELSE {pmi} END" if contextual else pmi
-    return f"""{_FULL},{_PAIRS},
-tg AS (SELECT c.*, v.frequency AS tf FROM ctx c JOIN voc v ON c.lemma = v.lemma AND c.pos = v.pos),
+    own = f"coalesce(nullif({lemma('fd.other')}, '*'), fd.other)" if inflected else "fd.other"
+    return f"""
+{name}_ol AS (SELECT fd.*, {own} AS ol FROM fd WHERE {word_class('fd.other')} = fd.pos),
+{name}_o1 AS (SELECT * FROM {name}_ol QUALIFY row_number() OVER (PARTITION BY item_id, ol ORDER BY cnt DESC, other) = 1),
+{name}_kn AS (SELECT o.item_id, o.lemma, o.ol AS word, round({score}, 6) AS score FROM {name}_o1 o JOIN voc v ON v.lemma = o.ol AND v.pos = o.pos, ns WHERE o.ol <> o.lemma),{ranked(name, name + '_kn', 'DESC', n)}"""
+
+
+#: What cooc() needs.
+_COOC = f"""{_PAIRS},
+ctg AS (SELECT c.*, v.frequency AS tf FROM ctx c JOIN voc v ON c.lemma = v.lemma AND c.pos = v.pos),
 ix AS (SELECT w1 AS word, w2 AS other, cnt FROM pairs UNION ALL SELECT w2, w1, cnt FROM pairs),
 ns AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM (SELECT DISTINCT key, sent_no FROM ct)),
-fd AS (SELECT tg.*, ix.other, ix.cnt FROM tg JOIN ix ON ix.word = tg.target
-  UNION ALL SELECT tg.*, ix.other, ix.cnt FROM tg JOIN ix ON ix.word = tg.lemma WHERE tg.target NOT IN (SELECT word FROM ix)),
-kn AS (SELECT fd.item_id, fd.lemma, fd.other AS word, round({score}, 6) AS score FROM fd JOIN voc v ON v.lemma = fd.other AND v.pos = fd.pos, ns WHERE {word_class('fd.other')} = fd.pos AND fd.other <> fd.lemma),{ranked('res', 'kn', 'DESC')}"""
+fd AS (SELECT ctg.*, ix.other, ix.cnt FROM ctg JOIN ix ON ix.word = ctg.target
+  UNION ALL SELECT ctg.*, ix.other, ix.cnt FROM ctg JOIN ix ON ix.word = ctg.lemma WHERE ctg.target NOT IN (SELECT word FROM ix))"""
+_INFLECTED = f"""{VOC_INFLECTED},\nvoc AS (SELECT lemma, pos, CAST(count(*) AS BIGINT) AS frequency FROM vt GROUP BY lemma, pos),{_CT},{_TRI},{item_tokens(True)},{_PICK},{_LOCATE},{_MASK}"""
 
 
 _DIM = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
@@ -141,7 +170,35 @@ _FLAG_PLL = f"{_LP},{pll('pc', 'full_c', 'item_id, word')},{pll('pt', 'full_t',
 SCREEN = f"{_FULL},\n{_SAME},{ranked('base', 'pool', 'ASC')},{_CANDS},{_DEP},{_FLAG_DEP},{_FLAG_PLL},\n{_FLAG_TRI}"
 _BAD_PLL = "NOT coalesce(pc.pll <= round(pt.pll - CASE WHEN c.context = 'OPEN' THEN 0.25 ELSE 0.1 END, 6), false)"
 
+
+
+def drawn(*keys: str) -> str:
+    return f"md5(concat_ws('|', 1, {', '.join(keys)})), {', '.join(keys)}"
+
+
+def _literal() -> str:
+    return ", ".join(f"({i}, '{s}', '{t}')" for i, (s, t) in enumerate(ITEMS_IN_CODE, 1))
+
+
+def masked(name: str, n: int) -> str:
+    return f"""
+{name}_t AS (SELECT item_id, token AS word, round(prob, 6) AS score FROM probs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(prob, 6) DESC, token) <= 200),
+{name}_f AS (SELECT t.* FROM {name}_t t JOIN ctx c USING (item_id) WHERE word <> c.target AND NOT starts_with(word, '##') AND word <> '[UNK]'
+  AND score BETWEEN 0.005 AND CASE c.context WHEN 'OPEN' THEN 0.5 WHEN 'CLOSED' THEN 0.9 ELSE 0.95 END),
+{name} AS (SELECT item_id, {_TOPN}, word, score FROM {name}_f QUALIFY rank <= {n})"""
+
+
+_SHARE = f"share AS (SELECT * FROM pool WHERE list_has_any({_LETTERS % 'lemma'}, {_LETTERS % 'word'}))"
+_GENERATORS = (("plain", "baseline", "g1"), ("plain", "spelling", "g2"), ("plain", "cooccurrence", "g3"), ("contextual", "baseline", "g1"), ("contextual", "spelling", "g2"), ("contextual", "cooccurrence_context", "g4"), ("contextual", "masked", "g5"))
+_ALL = " UNION ALL ".join(f"SELECT '{s}' AS system, '{g}' AS generator, item_id, rank, word, score FROM {t}" for s, g, t in _GENERATORS)
+EVALUATION = f"""{_FULL},\n{_SAME},{_SHARE},{_COOC},{ranked('g1', 'pool', 'ASC', 30)},{ranked('g2', 'share', 'ASC', 30)},{cooc(False, name='g3', n=30)},{cooc(True, name='g4', n=30)},{masked('g5', 30)},
+gens AS ({_ALL}),
+base AS (SELECT DISTINCT item_id, word, 0 AS rank FROM gens),{_CANDS},{_DEP},{_FLAG_DEP},{_FLAG_PLL},\n{_FLAG_TRI}
+SELECT g.item_id, g.system, g.generator, g.rank, g.word, g.score, bt.bad_trigram, bd.word IS NOT NULL AS bad_dependency, CASE WHEN g.system <> 'plain' THEN pc.pll END AS pll, CASE WHEN g.system <> 'plain' THEN {_BAD_PLL} END AS bad_pll
+FROM gens g JOIN bt ON bt.item_id = g.item_id AND bt.word = g.word JOIN ctx c ON c.item_id = g.item_id LEFT JOIN bd ON bd.item_id = g.item_id AND bd.word = g.word LEFT JOIN pc ON pc.item_id = g.item_id AND pc.word = g.word LEFT JOIN pt ON pt.item_id = g.item_id"""
+
 SQL = {
+    "evaluation_counted": f"WITH {EVALUATION}",
     "sentence_split": f"WITH {SENT} SELECT key AS doc_id, sent_no, sent, len FROM sent",
     "sentence_length_stats": f"WITH {SENT} SELECT count(*) AS n, round(avg(len), 6) AS mean, CAST(median(len) AS DOUBLE) AS median, min(len) AS min, max(len) AS max, round(stddev_pop(len), 6) AS std FROM sent",
     "length_histogram": f"WITH {SENT}, e AS (SELECT min(len) AS lo, max(len) AS hi FROM sent) SELECT CAST(least(floor((len - lo) * 50.0 / (hi - lo)) + 1, 50) AS BIGINT) AS bin, count(*) AS n FROM sent, e GROUP BY 1",
@@ -151,13 +208,33 @@ SQL = {
 SELECT doc_id, n_chars, CAST(len(list_filter(regexp_split_to_array(text, '{BLANK}+'), lambda w: w <> '')) AS BIGINT) AS n_words, CAST(n_script AS BIGINT) AS n_script,
   CAST(n_chars - n_script - len(regexp_extract_all(text, '{BLANK}')) AS BIGINT) AS n_other, round(n_script / n_chars, 6) AS ratio, n_chars BETWEEN 8 AND 300 AS length_ok, n_script / n_chars >= 0.3 AS ratio_ok FROM c""",
     "word_freq": f"WITH {VOC} SELECT * FROM voc",
-    "word_details": f"WITH {VOC} SELECT lemma, pos, string_agg(DISTINCT token, ' ' ORDER BY token) AS surface_forms, pos AS detailed_pos_tags, count(*) AS frequency, CAST(0 AS BIGINT) AS unknown_by_dict_count FROM vt GROUP BY lemma, pos",
+    "word_details": f"WITH {VOC_INFLECTED} {DETAILS}",
+    "unknown_words": f"WITH {VOC_INFLECTED} SELECT u.key AS doc_id, u.sent_no, k, token AS surface, detail, concat(left(sent, 50), '...') AS context FROM (SELECT * FROM vt WHERE unknown ORDER BY key, sent_no, k LIMIT 1000) u JOIN sent ON sent.key = u.key AND sent.sent_no = u.sent_no",
+    "vocabulary_sizes": f"WITH {VOC},{_CT} SELECT count(DISTINCT (lemma, pos)) AS n_words, count(DISTINCT lemma) AS n_lemmas, count(DISTINCT token) AS n_surfaces, (SELECT count(DISTINCT token) FROM ct) AS n_tokens FROM vt",
+    "words_per_text": f"WITH {TOK} SELECT key AS doc_id, sf AS word, count(*) AS cnt FROM tok GROUP BY 1, 2",
+    "wakati": f"WITH {TOK} SELECT s.key AS doc_id, s.sent_no, coalesce(string_agg(sf, ' ' ORDER BY i), '') AS words FROM sent s LEFT JOIN tok t ON s.key = t.key AND s.sent_no = t.sent_no GROUP BY 1, 2",
+    "first_sentences": f"WITH {SENT} SELECT key AS doc_id, sent_no, sent, len FROM sent ORDER BY key, sent_no LIMIT 1000",
+    "fill_placeholders": f"WITH {ITEMS} SELECT item_id, replace(concat(sentence, ' / ', sentence), '___', target) AS filled, replace(sentence, '___', '[MASK]') AS masked FROM items",
+    "valid_tokens": "SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) >= 4 AND trim(w) <> ''), ' ') AS words FROM benchmark",
+    "article_files": f"WITH {SENT} SELECT CAST(4 AS BIGINT) AS n_files, CAST(2 AS BIGINT) AS n_broken, (SELECT count(*) FROM documents) AS n_articles, count(DISTINCT key) AS n_with_sentences, count(*) AS n_sentences FROM sent",
+    "token_lines": f"WITH {COR} SELECT token AS word, count(*) AS cnt FROM ct GROUP BY token",
+    "csv_items": """SELECT concat('a "___", ', text) AS sentence, 't' AS target, concat(text, chr(10), ',b') AS english_sentence FROM benchmark""",
+    "packed_words": f"WITH {VOC_INFLECTED} {DETAILS} ORDER BY frequency DESC, lemma, pos LIMIT 200",
+    "packed_nations": "SELECT n_name AS name, concat(n_regionkey, '|x') AS rest, CAST(n_nationkey AS BIGINT) AS nationkey FROM nation",
+    "literal_items": f"""WITH lit AS (SELECT * FROM (VALUES {_literal()}) t(item_id, sentence, target)),
+{tokens('ltok', "(SELECT item_id AS key, 1 AS side, left(sentence, instr(sentence, '___') - 1) AS sent FROM lit UNION ALL SELECT item_id, 2, substr(sentence, instr(sentence, '___') + 3) FROM lit UNION ALL SELECT item_id, 3, replace(sentence, '___', target) FROM lit)", 'key, side')},
+{folded('lc', 'ltok', 'key, side')},{folded('lv', 'ltok', 'key, side', loose=False)},
+ln AS (SELECT key, count(*) AS n FROM lv WHERE side = 1 GROUP BY key)
+SELECT i.item_id, i.target, coalesce(a.lemma, s.lemma) AS lemma, coalesce(a.pos, s.pos) AS pos, coalesce((SELECT last(token ORDER BY k) FROM lc WHERE key = i.item_id AND side = 1), 'BOS') AS prev_word,
+  coalesce((SELECT first(token ORDER BY k) FROM lc WHERE key = i.item_id AND side = 2), 'EOS') AS next_word FROM lit i LEFT JOIN ln ON ln.key = i.item_id
+  LEFT JOIN lv a ON a.key = i.item_id AND a.side = 3 AND a.k = coalesce(ln.n, 0) AND contains(a.token, i.target)
+  LEFT JOIN (SELECT key, token, first(lemma ORDER BY k) AS lemma, first(pos ORDER BY k) AS pos FROM lv WHERE side = 3 GROUP BY key, token) s ON s.key = i.item_id AND s.token = i.target""",
     "word_freq_merge": f"""WITH {VOC},{sentences('s2', "(SELECT conv_id * 100000 + turn AS id, text FROM conversations)", 'id')},{tokens('t2', 's2')},{folded('v2', 't2', loose=False)}
 SELECT lemma, pos, CAST(count(*) AS BIGINT) AS frequency FROM (SELECT lemma, pos FROM vt UNION ALL SELECT lemma, pos FROM v2) GROUP BY lemma, pos""",
     "words_repeated": f"WITH {VOC} SELECT * FROM voc WHERE frequency > 1",
     "top_words": f"WITH {VOC} SELECT * FROM voc ORDER BY frequency DESC, lemma, pos LIMIT 20",
     "pos_distribution": f"WITH {VOC} SELECT pos, CAST(sum(frequency) AS BIGINT) AS frequency FROM voc GROUP BY pos",
-    "unknown_rate": f"WITH {VOC} SELECT round(100 * 0.0 / sum(frequency), 6) AS unknown_percent FROM voc",
+    "unknown_rate": f"WITH {VOC_INFLECTED} SELECT round(100.0 * count(*) FILTER (unknown) / count(*), 6) AS unknown_percent FROM vt",
     "lookahead_tokens": f"WITH {COR} SELECT key AS doc_id, sent_no, k, token FROM ct",
     "vocab_tokens": f"WITH {VOC} SELECT key AS doc_id, sent_no, k, lemma, pos, token AS surface FROM vt",
     "pos_prefix_extract": f"WITH {TOK} SELECT s.key AS doc_id, s.sent_no, coalesce(string_agg(sf, ' ' ORDER BY i) FILTER (p LIKE 'VE%'), '') AS verbs FROM sent s LEFT JOIN tok t ON s.key = t.key AND s.sent_no = t.sent_no GROUP BY 1, 2",
@@ -174,8 +251,12 @@ SELECT p_partkey, lemma, {clean('lemma')} AS cleaned FROM l""",
     "top_pairs": f"WITH {PAIRS} SELECT * FROM pairs ORDER BY cnt DESC, w1, w2 LIMIT 20",
     "bottom_pairs": f"WITH {PAIRS} SELECT * FROM pairs ORDER BY cnt, w1, w2 LIMIT 20",
     "pairs_with_word": f"WITH {PAIRS} SELECT CASE WHEN w1 = 'of' THEN w2 ELSE w1 END AS other, cnt FROM pairs WHERE 'of' IN (w1, w2) ORDER BY cnt DESC, other LIMIT 50",
-    "trigrams_with_word": f"WITH {TRI} SELECT * FROM tri WHERE 'of' IN (w1, w2, w3)",
-    "relations_with_word": f"WITH {DEP} SELECT * FROM dep WHERE 'inin' IN (head, child)",
+    "trigrams_with_word": f"WITH {TRI} SELECT * FROM tri WHERE 'of' IN (w1, w2, w3) ORDER BY {drawn('w1', 'w2', 'w3')} LIMIT 50",
+    "sample_trigrams": f"WITH {TRI} SELECT * FROM tri ORDER BY {drawn('w1', 'w2', 'w3')} LIMIT 20",
+    "sample_relations": f"""WITH {DEP}, byw AS (SELECT head AS word, * FROM dep UNION ALL SELECT child AS word, * FROM dep), w AS (SELECT DISTINCT word FROM byw), d AS (SELECT unnest(range(1, 21)) AS draw),
+x AS (SELECT draw, word FROM w, d QUALIFY row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', 1, draw, word)), word) = 1)
+SELECT draw, x.word, dep, head, child FROM x JOIN byw USING (word) QUALIFY row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', 1, draw, dep, head, child)), dep, head, child) = 1""",
+    "relations_with_word": f"WITH {DEP} SELECT * FROM dep WHERE 'inin' IN (head, child) ORDER BY {drawn('dep', 'head', 'child')} LIMIT 50",
     "cloze_items": f"WITH {ITEMS} SELECT * FROM items",
     "target_in_context": f"WITH {LOCATED} SELECT item_id, target, lemma, pos FROM loc",
     "trigram_context": f"WITH {LOCATED} SELECT item_id, prev_word, next_word FROM loc",
@@ -184,8 +265,9 @@ SELECT p_partkey, lemma, {clean('lemma')} AS cleaned FROM l""",
     "gen_similarity": f"WITH {NEAR} SELECT item_id, {_TOPN}, word, score FROM near QUALIFY rank <= 20",
     "gen_similarity_band": f"""WITH {NEAR}, big AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, word) <= 200)
 SELECT item_id, {_TOPN}, word, score FROM big WHERE score BETWEEN CASE context WHEN 'OPEN' THEN 0.1 WHEN 'CLOSED' THEN 0.2 ELSE 0.1 END AND CASE context WHEN 'OPEN' THEN 0.3 WHEN 'CLOSED' THEN 0.4 ELSE 0.35 END QUALIFY rank <= 20""",
-    "gen_cooc_pmi": f"WITH {cooc(False)} SELECT * FROM res",
-    "gen_cooc_pmi_k": f"WITH {cooc(True)} SELECT * FROM res",
+    "gen_cooc_pmi": f"WITH {_FULL},{_COOC},{cooc(False)} SELECT * FROM res",
+    "gen_cooc_pmi_k": f"WITH {_FULL},{_COOC},{cooc(True)} SELECT * FROM res",
+    "gen_cooc_lemma": f"WITH {_INFLECTED},{_COOC},{cooc(False, True)} SELECT * FROM res",
     "gen_contextual": f"""WITH {MASK}, top AS (SELECT item_id, token AS word, round(prob, 6) AS score FROM probs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(prob, 6) DESC, token) <= 200),
 f AS (SELECT top.* FROM top JOIN ctx c USING (item_id) WHERE word <> c.target AND NOT starts_with(word, '##') AND word <> '[UNK]'
   AND score BETWEEN 0.005 AND CASE c.context WHEN 'OPEN' THEN 0.5 WHEN 'CLOSED' THEN 0.9 ELSE 0.95 END)

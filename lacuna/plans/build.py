@@ -31,10 +31,12 @@ def build(articles: DataFrame, folder: str, profile: Profile, tokenizer=None, pa
     """Writes the tokens once, then every table of counts from them; tables that are there stay unless rebuild is set."""
     spark = articles.sparkSession
     parser = parser or AdjacentWords(profile.content)
-    sinks.artefact(tagged(articles, profile, tokenizer).drop("sent"), folder, "tagged", rebuild)
+    sinks.artefact(counts.folded(tagged(articles, profile, tokenizer), profile), folder, "tagged", rebuild)
     toks = spark.read.parquet(f"{folder}/tagged")
     words = counts.corpus_rows(toks, profile)
-    sinks.artefact(counts.word_details(counts.vocabulary_rows(toks, profile)), folder, "vocabulary", rebuild)
+    rows = counts.vocabulary_rows(toks, profile, "doc_id", "sent_no")
+    sinks.artefact(counts.word_details(rows), folder, "vocabulary", rebuild)
+    sinks.artefact(counts.unknown_sample(rows, toks, "doc_id", "sent_no"), folder, "unknown_words", rebuild)
     sinks.artefact(counts.frequent(counts.pairs(words), profile.min_pair), folder, "cooccurrence", rebuild)
     sinks.artefact(counts.frequent(counts.trigrams(words), profile.min_trigram), folder, "trigrams", rebuild)
     sinks.artefact(counts.frequent(counts.dependencies(parser.edges(toks), profile), profile.min_dependency), folder, "dependencies", rebuild)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import tokens as T
 
 
 class Tokenizer(Protocol):
+    """One that is pure SQL also has toks(text: Column) -> Column, which spares texts beside a table a shuffle."""
+
     def tag(self, sentences: DataFrame) -> DataFrame:
-        """Adds toks array<struct(sf, p)> to a table with sent."""
+        """Adds toks array<struct(sf, p, l, d)> to a table with sent."""
 
 
 class DependencyParser(Protocol):
@@ -28,11 +30,58 @@ class MaskedLM(Protocol):
         """Adds logp to slots with prev, word, next."""
 
 
+_MAKERS: dict[tuple[str, str], object] = {}
+
+
+def register(kind: str, name: str, make) -> None:
+    """Makes a provider known: kind is tokenizer, parser or lm; make(**settings) loads it."""
+    _MAKERS[kind, name] = make
+
+
+def load(kind: str, name: str, **settings):
+    """The provider, or None where it isn't known or can't be loaded, with which generators and filters go on."""
+    try:
+        return _MAKERS[kind, name](**settings)
+    except (KeyError, ImportError, OSError):
+        return None
+
+
+def analyzed(rows: DataFrame, key: str, tokenizer: Tokenizer, **texts: Column) -> DataFrame:
+    """rows with the tokens of each text as a column; a null text has null. key must tell rows apart."""
+    if hasattr(tokenizer, "toks"):
+        return rows.withColumns({name: tokenizer.toks(text) for name, text in texts.items()})
+    each = F.array(*[F.struct(F.lit(name).alias("name"), text.alias("sent")) for name, text in texts.items()])
+    toks = tokenizer.tag(rows.select(key, F.inline(each)).where("sent IS NOT NULL"))
+    wide = toks.groupBy(key).agg(*[F.any_value(F.when(F.col("name") == name, F.col("toks")), F.lit(True)).alias(name) for name in texts])
+    return rows.join(wide, key, "left")
+
+
+def token_info(words: DataFrame, tokenizer: Tokenizer, profile) -> DataFrame:
+    """words(word) to (word, lemma, pos): of the first vocabulary token of each word by itself; words without one are left out."""
+    toks = analyzed(words.select("word").distinct(), "word", tokenizer, toks=F.col("word"))
+    return toks.select("word", F.get(T.vocabulary_tokens(F.col("toks"), profile), 0).alias("t")).select("word", "t.lemma", "t.pos").where("lemma <> ''")
+
+
 class WordTokenizer:
     """Words between spaces with a class by length and ending; pure SQL."""
 
+    def toks(self, text: Column) -> Column:
+        return T.tag(T.words(text))
+
     def tag(self, sentences: DataFrame) -> DataFrame:
-        return sentences.withColumn("toks", T.tag(T.words(F.col("sent"))))
+        return sentences.withColumn("toks", self.toks(F.col("sent")))
+
+
+class InflectingTokenizer(WordTokenizer):
+    """The same words with a lemma (verbs without -ed or -er, adjectives without -ly), a detailed class by the last letter, and a dictionary that lacks words with other letters than a-z; pure SQL. A stand-in for an analyzer."""
+
+    def toks(self, text: Column) -> Column:
+        def one(w: Column) -> Column:
+            kind, end, stem = T.word_class(w), F.right(w, F.lit(2)), F.left(w, F.length(w) - 2)
+            strip = (F.length(w) > 5) & (((kind == "VERB") & end.isin("ed", "er")) | ((kind == "ADJ") & (end == "ly")))
+            return T.token(w, kind, F.when(F.rlike(w, F.lit("[^a-z]")), "*").when(strip, stem).otherwise(w), F.concat_ws("-", kind, F.right(w, F.lit(1))))
+
+        return F.transform(T.words(text), one)
 
 
 class AdjacentWords:
@@ -45,7 +94,7 @@ class AdjacentWords:
         kept = F.filter("toks", lambda t: t["p"].isin(*self.content))
         pairs = F.when(F.size("c") >= 2, F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(F.get("c", i).alias("a"), F.get("c", i + 1).alias("b"))))
         rows = sentences.select(*keys, kept.alias("c")).select(*keys, F.explode(pairs).alias("e"))
-        return rows.select(*keys, F.lit("next").alias("dep"), F.col("e.a.sf").alias("head"), F.col("e.b.sf").alias("child"), F.col("e.a.p").alias("head_pos"), F.col("e.b.p").alias("child_pos"))
+        return rows.select(*keys, F.lit("next").alias("dep"), T.lemma_or_surface(F.col("e.a.l"), F.col("e.a.sf")).alias("head"), T.lemma_or_surface(F.col("e.b.l"), F.col("e.b.sf")).alias("child"), F.col("e.a.p").alias("head_pos"), F.col("e.b.p").alias("child_pos"))
 
 
 class NGramLM:
@@ -66,3 +115,9 @@ class NGramLM:
         joined = slots.join(triple, ["prev", "word", "next"], "left").join(sides, ["prev", "next"], "left")
         p = (F.coalesce("cnt", F.lit(0)) + 1) / (F.coalesce("all", F.lit(0)) + self.vocabulary)
         return joined.withColumn("logp", F.log(p)).drop("cnt", "all")
+
+
+register("tokenizer", "words", WordTokenizer)
+register("tokenizer", "inflecting", InflectingTokenizer)
+register("parser", "adjacent", AdjacentWords)
+register("lm", "trigrams", NGramLM)

@@ -40,6 +40,18 @@ def packed_map(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
     return rows.select(*[F.get(F.split("k", r"\|", len(parts)), i).alias(p) for i, p in enumerate(parts)], "value")
 
 
+DETAILS = "surface_forms array<string>, detailed_pos_tags array<string>, frequency long, unknown_by_dict_count long"
+
+
+def word_details(spark: SparkSession, path: str) -> DataFrame:
+    """The vocabulary from a one-object JSON file of lemma|class to its details; an empty table where there is no such file."""
+    try:
+        rows = packed_map(spark, path, ["lemma", "pos"])
+    except AnalysisException:
+        return spark.createDataFrame([], ARTEFACTS["vocabulary"])
+    return rows.select("lemma", "pos", F.from_json("value", DETAILS).alias("d")).select("lemma", "pos", "d.*")
+
+
 def present(spark: SparkSession, folder: str, name: str) -> bool:
     """Whether a build wrote that table."""
     try:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new one below spark.checkpoint.dir; below a temporary folder only where that is unset, as in tests."""
+    """A new one below spark.checkpoint.dir; below a temporary folder only where that is unset and all run on one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lacuna-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lacuna/{name}-{uuid.uuid4().hex}"

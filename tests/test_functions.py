@@ -51,7 +51,7 @@ def test_look_ahead_equals_a_loop(spark):
     rng = random.Random(3)
     rows = [(i, [(rng.choice("abcd "), rng.choice(["VERB", "ADJ", "AUX", "AUX", "NOUN", "PART"])) for _ in range(rng.randrange(9))]) for i in range(300)]
     rows.append((300, [("v", "VERB"), ("a", "AUX"), ("b", "AUX"), ("n", "NOUN"), ("c", "AUX")]))
-    df = spark.createDataFrame(rows, "id long, toks array<struct<sf:string,p:string>>")
+    df = spark.createDataFrame([(i, [(*t, None, None) for t in x]) for i, x in rows], "id long, toks array<struct<sf:string,p:string,l:string,d:string>>")
     got = df.select("id", T.corpus_tokens(F.col("toks"), LATIN).alias("c"), F.transform(T.vocabulary_tokens(F.col("toks"), LATIN), lambda t: t["surface"]).alias("v")).collect()
     for r in got:
         tokens = dict(rows)[r.id]

@@ -17,12 +17,7 @@ def test_equals_sql(spark, name):
 
 
 def test_every_query_has_sql_or_is_known_to_lack_it():
-    assert set(QUERIES) - set(SQL) == {"sample_trigrams", "sample_relations", "evaluation_rows", "evaluation_json", "w2v_neighbours"}
-
-
-@pytest.mark.parametrize("name", ["sample_trigrams", "sample_relations", "w2v_neighbours"])
-def test_samples_have_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    assert set(QUERIES) - set(SQL) == {"evaluation_rows", "evaluation_json", "w2v_neighbours"}
 
 
 def test_w2v_trains_the_full_model(spark, monkeypatch):

@@ -45,11 +45,13 @@ def test_build_generate_and_nest(spark, tmp_path):
     items = spark.createDataFrame([(1, "thing of ___ and the thereto", "thereat"), (2, "no blank", "x")], "item_id long, sentence string, target string")
     rows = generate.generate(items, a, LATIN)
     context = items.withColumn("context", F.lit(None).cast("string"))
-    got = {r.item_id: r.results for r in evaluate.nest(context, rows).collect()}
-    assert set(got) == {1, 2} and got[2] is None
-    for record in (got[1] or {}).values():
-        rejected = set().union(*record.rejected_by)
-        assert record.final == [w for w in record.candidates if w not in rejected]
+    got = {r.item_id: r for r in evaluate.nest(context, rows).collect()}
+    assert set(got) == {1, 2} and got[2].plain_results is None
+    for name in ("plain_results", "contextual_results"):
+        for record in (got[1][name] or {}).values():
+            assert (record.rejected_by.pll is None) == (name == "plain_results")
+            rejected = set().union(*(x or [] for x in record.rejected_by))
+            assert record.final == [w for w in record.candidates if w not in rejected]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -67,7 +69,7 @@ def test_vectors_are_built_and_used(spark, tmp_path):
     a = build.load(spark, folder, LATIN)
     assert a.vectors.count() > 8 and len(a.vectors.first().vec) == 400
     items = spark.createDataFrame([(1, "Many other ___ went over there", "people"), (2, "no blank", "people")], "item_id long, sentence string, target string")
-    got = generate.generate(items, a, LATIN).where("generator = 'similarity'").collect()
-    assert {r.item_id for r in got} == {1}
+    got = generate.generate(items, a, LATIN).where("generator LIKE 'similarity%'").collect()
+    assert {r.item_id for r in got} == {1} and {r.generator for r in got} >= {"similarity"}
     build.build(docs.limit(0), str(tmp_path / "none"), LATIN)
     assert build.load(spark, str(tmp_path / "none"), LATIN).vectors.count() == 0
