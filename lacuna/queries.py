@@ -63,6 +63,11 @@ def _deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.frequent(counts.dependencies(AdjacentWords(P.content).edges(_tagged(spark, sf_dir)), P), P.min_dependency)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """For what several steps of a generator read."""
+    return workspace.materialize(df, "stored")
+
+
 class Counts:
     """Tables of one corpus for a query that needs several: it is tokenized once, into a table that all are counted from."""
 
@@ -304,8 +309,8 @@ QUERIES = {
     "cloze_items": _items,
     "target_in_context": lambda s, d: _located(s, d).select("item_id", "target", "lemma", "pos"),
     "trigram_context": lambda s, d: _located(s, d).select("item_id", "prev_word", "next_word"),
-    "gen_baseline": lambda s, d: C.baseline(_located(s, d), _words(s, d)),
-    "gen_spelling": lambda s, d: C.spelling(_located(s, d), _words(s, d), P),
+    "gen_baseline": lambda s, d: C.baseline(_stored(_located(s, d)), _stored(_words(s, d))),
+    "gen_spelling": lambda s, d: C.spelling(_stored(_located(s, d)), _stored(_words(s, d)), P),
     "gen_similarity": lambda s, d: C.similarity(_vector_queries(s, d), _vectors(s, d)),
     "gen_similarity_band": lambda s, d: C.similarity_in_band(_vector_queries(s, d), _vectors(s, d), P),
     "gen_cooc_pmi": gen_cooc(False),
