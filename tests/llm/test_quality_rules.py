@@ -35,4 +35,19 @@ def test_order_never_changes_the_verdict(spark, sf):
     counted = Q.counters(docs)
     a, b = (sorted(map(tuple, Q.apply_rules(counted, "n_words < 20", rules).select("doc_id", "kept").collect())) for rules in (list(Q.RULES), list(Q.RULES)[::-1]))
     assert a == b
-    assert sorted(r.name for r in Q.order_rules(docs, Q.RULES, 50)) == sorted(r.name for r in Q.RULES)
+    assert sorted(r.name for r in Q.order_rules(docs, Q.RULES, "n_words < 20", 50)) == sorted(r.name for r in Q.RULES)
+
+
+def test_rules_go_by_what_they_still_reject_per_cost(spark, monkeypatch):
+    rows = [(i, "word " * 30 + ("# " * 40 if i % 10 < 6 else "") + ("7777 " * 90 if i % 10 >= 8 else "")) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dear = "length(regexp_replace(repeat(text, 40), '[a-q]+', '')) < 0"
+    rules = (Q.Rule("dear", f"{dear} OR 10 * n_symbols > n_words"), Q.Rule("symbols", "10 * n_symbols > n_words"), Q.Rule("digits", "text LIKE '%7777%'"), Q.Rule("none", "n_words < 0"))
+    names = [r.name for r in Q.order_rules(df, rules, "n_words < 20", 100)]
+    assert names[:2] == ["symbols", "digits"]  # after them the dear rule has nothing left to reject
+    assert set(names[2:]) == {"dear", "none"}
+    seen = {"a": 4.0, "b": 1.0, "c": 1.0, "": 0.5}
+    monkeypatch.setattr(Q, "_seconds", lambda rows, condition: next((t for k, t in seen.items() if k and f"'{k}'" in condition), 0.5))
+    rules = (Q.Rule("a", "'a' = 'a' AND 10 * n_symbols > n_words"), Q.Rule("b", "'b' = 'b' AND text LIKE '%7777%'"), Q.Rule("c", "'c' = 'c' AND (10 * n_symbols > n_words AND doc_id % 10 < 3)"))
+    # per second: a 60 / 3.5, b 20 / 0.5, c 30 / 0.5; then a still has 30
+    assert [r.name for r in Q.order_rules(df, rules, "n_words < 20", 1000)] == ["c", "b", "a"]
