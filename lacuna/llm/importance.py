@@ -26,6 +26,8 @@ _LIMITS = np.array([1, 4, 16, 64])
 PRIOR = 4.0
 #: Neutral n-grams added to each text, which keep the weights of a few n-grams near 0.
 SHORT = 32
+#: Scale of the noise of the sample. At 0 it is a plain cut; the larger, the more documents near the cut change places from seed to seed.
+TEMPERATURE = 0.15
 #: Bins of a round of the search for the k-th key.
 BINS = 4096
 
@@ -119,28 +121,34 @@ def _weigh(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.
 
 def _weigh_held_out(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(log_weight, good) of labelled documents, each by the model that has been counted without it. counts: rows raw and target by bucket."""
-    own = np.zeros(WIDTH, np.int64)
+    held = [np.zeros(0, np.int32)]
     for part, grams, of, first, last in _grams_of(batches):
+        if not (first and last):
+            held = [grams] if first else [*held, grams]
+            if not last:
+                continue
+            grams = np.concatenate(held)
+            of = np.zeros(len(grams), np.int32)
         good = part.column("good").to_numpy(zero_copy_only=False)
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(part.num_rows + 1))
         weights = []
-        cuts = np.flatnonzero(np.append(False, of[1:] < of[:-1]))  # n-grams of bytes, then of words
-        ends = [np.searchsorted(of[a:b], np.arange(part.num_rows + 1)) + a for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True)]
         for k in range(part.num_rows):
-            mine = np.concatenate([grams[e[k] : e[k + 1]] for e in ends])
-            seen = np.bincount(mine, minlength=WIDTH)
-            own = seen if first else own + seen
-            if last:
-                weights.append(float(own @ ratios(counts[0], counts[1] - good[k] * own)) / (SHORT + own.sum()))
-        if last:
-            yield pa.record_batch({"log_weight": pa.array(weights, pa.float64()), "good": part.column("good")})
-
-
-def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log(target / raw) of each bucket, in each of the two families of n-grams; PRIOR pseudo-counts drawn from the raw model keep rare n-grams near 0. No target: 0."""
-    out = np.zeros(WIDTH)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, WIDTH)):
-        expected = raw[part] * (target[part].sum() / max(raw[part].sum(), 1))
-        out[part] = np.log((target[part] + PRIOR) / (expected + PRIOR))
+            bucket, n = np.unique(grams[order[ends[k] : ends[k + 1]]], return_counts=True)
+            weights.append(float(n @ ratios(*counts, bucket, n * good[k])) / (SHORT + int(n.sum())))
+        yield pa.record_batch({"log_weight": pa.array(weights, pa.float64()), "good": part.column("good")})
+
+
+def ratios(raw: np.ndarray, target: np.ndarray, bucket: np.ndarray | None = None, without: np.ndarray | int = 0) -> np.ndarray:
+    """log(target / raw) of all buckets, or of some, after `without` has been taken off the target there; PRIOR pseudo-counts drawn from the raw model keep rare n-grams near 0. The two families of n-grams are models of
+    their own. No target: 0."""
+    bucket = np.arange(WIDTH) if bucket is None else bucket
+    own = np.broadcast_to(without, bucket.shape)
+    out = np.zeros(len(bucket))
+    for part, here in ((slice(0, BUCKETS), bucket < BUCKETS), (slice(BUCKETS, WIDTH), bucket >= BUCKETS)):
+        k = bucket[here]
+        expected = raw[k] * ((target[part].sum() - own[here].sum()) / max(raw[part].sum(), 1))
+        out[here] = np.log((target[k] - own[here] + PRIOR) / (expected + PRIOR))
     return out
 
 
@@ -190,11 +198,17 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
             return values[k - above - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, temperature: float = 0.01, seed: int = 17) -> DataFrame:
+def gumbel_keys(weighed: DataFrame, temperature: float, seed: int) -> DataFrame:
+    """weighed(doc_id, log_weight) with gumbel_key: log_weight + temperature * Gumbel noise from a hash of seed and doc_id. The k largest are a sample without replacement by weights exp(log_weight / temperature)."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return weighed.withColumn("gumbel_key", F.col("log_weight") - temperature * F.log(-F.log(uniform)))
+
+
+def resample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, temperature: float = TEMPERATURE, seed: int = 17) -> DataFrame:
     """docs(doc_id, text) and labels(doc_id, quality) to (row, doc_id, log_weight, gumbel_key, kept), a row per document; row numbers the rows of docs only within this result.
 
-    kept marks the k largest log_weight + temperature * Gumbel noise, the noise drawn from a hash of doc_id; k is the number of documents whose weight is at or above a cut that parts the
-    labelled good from the labelled bad best. At most `labelled` rows of labels are used. Without labels of both kinds all are kept; without good ones all weights are 1. A null or
+    kept marks the k largest keys of gumbel_keys(), a sample of k documents without replacement, each drawn in proportion to its weight to the power 1 / temperature; another seed draws another sample. k is the number of documents whose weight is at or above a cut that parts the
+    labelled good from the labelled bad best. Labelled documents are weighed for the cut by a model counted without them. At most `labelled` rows of labels are used. Without labels of both kinds all are kept; without good ones all weights are 1. A null or
     empty text has no n-grams and log weight 0. Rows that repeat doc_id and text get the same key and stay or go together, so ties at the cut may keep more than k. A null doc_id has noise of its own. No rows give no rows.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good")).where("doc_id IS NOT NULL AND good IS NOT NULL")
@@ -206,13 +220,11 @@ def resample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, tempe
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     weighed = materialize(rows.mapInArrow(partial(_weigh, ratio=ratios(*counted)), "row long, doc_id long, log_weight double"), "weights")
     cut = best_cut(sample["log_weight"].to_numpy(), sample["good"].to_numpy(bool)) if len(sample) else -np.inf
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    keyed = weighed.withColumn("gumbel_key", F.col("log_weight") - temperature * F.log(-F.log(uniform)))
+    keyed = gumbel_keys(weighed, temperature, seed)
     k = weighed.where(F.col("log_weight") >= F.lit(cut)).count()
     return keyed.withColumn("kept", F.col("gumbel_key") >= F.lit(kth_largest(keyed, "gumbel_key", k)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """docs without the documents that resample() rejects. doc_id must tell documents apart; one without doc_id stays."""
-    gone = resample(docs, labels, **settings).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+def rejected(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """(doc_id) of the documents that resample() rejects. doc_id must tell documents apart; one without doc_id is never among them."""
+    return resample(docs, labels, **settings).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")

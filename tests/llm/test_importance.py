@@ -76,9 +76,31 @@ def test_edges(spark):
     rows = [(1, "good words here are fine"), (2, None), (3, ""), (4, "### $$$ ### $$$ ###"), (None, "no id at all"), (1, "good words here are fine"), (5, "### $$$ ### $$$")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality", F.lit("x")).withColumn("row", F.lit(1))
     labels = spark.createDataFrame([(1, 1), (4, 0), (9, 1), (None, 1), (2, None)], "doc_id long, quality int")
-    got = I.resample(df, labels).collect()
+    got = I.resample(df, labels, temperature=0.01).collect()
     assert sorted((r.doc_id or -1) for r in got) == [-1, 1, 1, 2, 3, 4, 5]
     assert {r.log_weight for r in got if r.doc_id in (2, 3)} == {0.0}
     assert not any(r.kept for r in got if r.doc_id in (4, 5)) and all(r.kept for r in got if r.doc_id == 1)
     assert all(r.kept for r in I.resample(df, labels.limit(0)).collect())
     assert I.resample(df.limit(0), labels).collect() == []
+
+
+def test_keys_sample_by_weight(spark):
+    rows = [(i, 0.1 * (i % 2)) for i in range(40000)]
+    df = spark.createDataFrame(rows, "doc_id long, log_weight double")
+    keys = [{r.doc_id: r.gumbel_key for r in I.gumbel_keys(df, 0.15, seed).collect()} for seed in (1, 2)]
+    for key in keys:  # the heavier of two comes first with probability 1 / (1 + exp(-0.1 / 0.15))
+        share = np.mean([key[i + 1] > key[i] for i in range(0, 40000, 2)])
+        assert abs(share - 1 / (1 + math.exp(-0.1 / 0.15))) < 0.012
+    first = [set(sorted(key, key=key.get)[-4000:]) for key in keys]
+    assert len(first[0] & first[1]) < 1000
+
+
+def test_other_seeds_draw_other_samples_and_keep_the_good(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    kept = []
+    for seed in (1, 2, 3, 4):
+        kept.append({r.doc_id for r in I.resample(docs, labels, seed=seed).where("kept").collect()})
+    assert len({frozenset(k) for k in kept}) > 1 and len({len(k) for k in kept}) == 1
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    assert np.mean([len(k & good) / len(good) for k in kept]) > 0.99
