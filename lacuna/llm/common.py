@@ -6,10 +6,13 @@ because each keeps or drops all bytes of a non-ASCII character together.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 from hashlib import blake2b
 
 import numpy as np
@@ -19,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
 SLICE_BYTES = 2 << 20
+#: Rows of texts that a Python worker gets at once.
+BATCH_ROWS = 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,21 +53,59 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lacuna/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = False, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """df, written once to the shared folder and read from there: later reads don't recompute it, and lost executors don't matter.
 
-    With `free` the driver then collects its garbage, upon which executors drop the shuffle files of what has just been written."""
+    Python workers get batch_rows rows at once, at most. With `free` the driver then collects its garbage, upon which executors drop the shuffle files of what has just been written."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _write(df, path, batch_rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _made[-1].append(path)
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
     return out
 
 
+def _write(df: DataFrame, path: str, batch_rows: int) -> None:
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    if int(before) <= 0 or int(before) > batch_rows:
+        conf.set(key, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
+
+
+#: Paths that materialize() has written, by open call of settled().
+_made: list[list[str]] = [[]]
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of make(), written; all that make() has written on its way is deleted. For steps whose result is small next to what they need."""
+    spark = SparkSession.getActiveSession()
+    _made.append([])
+    try:
+        df = make()
+        path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        _write(df, path, BATCH_ROWS)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        out._scratch = path
+        spark = df.sparkSession
+    finally:
+        used = _made.pop()
+        for p in used:
+            _delete(spark, p)
+    _made[-1].append(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a result of materialize() that nothing reads any more."""
     _delete(df.sparkSession, df._scratch)
@@ -82,6 +125,21 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def lean(f):
+    """f, a function of Arrow batches, that gives memory back at the end of its partition: workers live on, and what they hoard counts against their executor."""
+
+    @wraps(f)
+    def inner(*args, **kwargs):
+        try:
+            yield from f(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with at most `most` bytes of text, or one row."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, coded_words, materialize, parts_of, runs, slices, text_bytes, word_hashes
+from .common import ALNUM, LOWER, coded_words, lean, materialize, parts_of, runs, slices, text_bytes, word_hashes
 
 #: Bytes of words before lower-casing.
 ALNUM_ANY_CASE = ALNUM[LOWER]
@@ -32,6 +32,7 @@ def terms(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return word_hashes(words)[number], np.bincount(of, minlength=len(offsets) - 1).astype(np.int64)
 
 
+@lean
 def _index(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[pa.RecordBatch]:
     """A row per slice of texts, several of one chunk for a long text: `base` counts the words before the row's first, and each row repeats the last `overlap` words of the one before; doc_ids and n_words are in the last."""
     squeeze = zstandard.ZstdCompressor(level=1)
@@ -136,6 +137,7 @@ def _near(sorted_list: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
     return (at < len(sorted_list)) & (sorted_list[np.minimum(at, len(sorted_list) - 1)] <= wanted + slop)
 
 
+@lean
 def _search(batches: Iterator[pa.RecordBatch], windows: Windows, slop: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, coded_words, materialize, parts_of, word_hashes
+from .common import NOT_SPACE, coded_words, lean, materialize, parts_of, word_hashes
 
 BUCKETS = 1 << 16
 #: Labelled rows that the target model and the cut are fitted on, at most; which, a hash of doc_id decides.
@@ -99,6 +99,7 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 WIDTH = BUCKETS + 216
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, WIDTH), np.int64)
     for part, grams, of, _, _ in _grams_of(batches):
@@ -110,6 +111,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"bucket": pa.array(k.astype(np.int32)), "raw": pa.array(total[0, k]), "target": pa.array(total[1, k])})
 
 
+@lean
 def _weigh(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     sums = counts = np.zeros(1)
     for part, grams, of, first, last in _grams_of(batches):
@@ -119,6 +121,7 @@ def _weigh(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.
             yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "log_weight": pa.array(sums / (SHORT + counts))})
 
 
+@lean
 def _weigh_held_out(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(log_weight, good) of labelled documents, each by the model that has been counted without it. counts: rows raw and target by bucket."""
     held = [np.zeros(0, np.int32)]

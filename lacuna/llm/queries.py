@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, importance, line_spread, mixing, quality_rules, repeats, simhash, token_counts, tokenbin, toxicity
-from .common import documents, shared_dir
+from .common import documents, scratch_dir
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +44,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{shared_dir(spark).rstrip('/')}/lacuna/tokens-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokenbin.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokenbin.read_tokens(spark, path, digest=True)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(documents(spark, sf_dir)).drop("n_lines", "n_stutter", "first_failed")
+    return quality_rules.judge(documents(spark, sf_dir)).drop("n_lines", "first_failed")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

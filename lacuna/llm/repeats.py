@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, materialize, mix, runs, slices, text_bytes
+from .common import SLICE_BYTES, lean, materialize, mix, runs, slices, text_bytes
 
 GRAM = 32
 #: Different pieces of one minimizer, from where on its windows are pieces of their own.
@@ -118,6 +118,7 @@ def _stretches(batch: pa.RecordBatch, length: int, most: int) -> Iterator[tuple[
             yield raw[a : a + most + length - 1], np.array([0, min(most + length - 1, len(raw) - a)]), d1, a
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
     """(deal, content, d1, at) of the earliest of equal pieces of the slice; its others are removed: rows with 0 windows in `at`, whose content is the number of bytes."""
     classes = _Classes()
@@ -159,6 +160,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterat
             })
 
 
+@lean
 def _resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows of _pieces sorted by (deal, content, d1, at) to removed stretches (deal null, d1, at, n) and pieces with a rival of other content (deal, d1, at, n null). Holds back one row only."""
     held = None  # the last row that leads its content and has met no rival yet: (deal, content, d1, at, rival)
@@ -330,6 +332,7 @@ def earlier_windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gro
     return found
 
 
+@lean
 def _match(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Pieces (deal, d1, at, piece) sorted by (deal, d1, at) to removed stretches (d1, at, n)."""
 
@@ -378,6 +381,7 @@ def _match(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield done
 
 
+@lean
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -394,6 +398,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 yield pa.record_batch({"deal": want.field("deal"), "d1": part.column("d1").take(pa.array(of)), "at": want.field("at"), "piece": pieces})
 
 
+@lean
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The windows of pieces (deal, d1, at, piece) by two hashes: (h1, h2, d1, at, n null) for the earliest of equal ones at hand, with 1 for its number of windows in `at`; the others are
     removed: stretches (d1, at, n)."""
@@ -430,6 +435,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             })
 
 
+@lean
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):

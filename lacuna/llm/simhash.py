@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, SLICE_BYTES, blocks, local_components, materialize, runs, slices, text_bytes, word_spans
+from .common import LOWER, NOT_SPACE, SLICE_BYTES, blocks, lean, local_components, materialize, runs, slices, text_bytes, word_spans
 from .components import connected_components
 
 #: Fixed value: the generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the [23, 12] Golay code.
@@ -80,6 +80,7 @@ def majority(part: pa.RecordBatch, width: int) -> np.ndarray:
     return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+@lean
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -178,6 +179,7 @@ def _linked(place: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarra
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by place to star edges (u, v), one star for each set of linked fingerprints of an anchor. A group with too many
     pairs goes through as rows (fp, null), without being held, and is resolved by hot_edges."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, parts_of, word_spans
+from .common import NOT_SPACE, lean, parts_of, word_spans
 
 #: Words that numpy steps are too costly for.
 FEW = 64
@@ -144,6 +144,7 @@ class Automaton:
         return out
 
 
+@lean
 def _counts(batches: Iterator[pa.RecordBatch], automaton: Automaton) -> Iterator[pa.RecordBatch]:
     sums = (np.zeros(1, np.int64),) * 2
     for batch in batches:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, materialize, parts_of, word_spans
+from .common import LOWER, NOT_SPACE, discard, lean, materialize, parts_of, word_spans
 
 #: Distinct units that a worker remembers with their ids. Beyond that it forgets those that only one slice had, or all if few are left to forget.
 REMEMBERED = 400_000
@@ -159,6 +159,7 @@ RAW = "doc_ids array<long>, lengths array<long>, ids binary"
 CODED = "shard int, doc_id long, n long, control binary, data binary"
 
 
+@lean
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """A row per slice of texts: its ids by byte planes, squeezed."""
     squeeze = zstandard.ZstdCompressor(level=1)
@@ -183,6 +184,7 @@ def _planes(squeezed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
     for batch in batches:
@@ -221,6 +223,7 @@ def unpack(control: bytes, data: bytes, lengths: np.ndarray) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+@lean
 def _encode(batches: Iterator[pa.RecordBatch], rank_of: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row per document: its shard and its packed ranks."""
     for batch in batches:
@@ -236,6 +239,7 @@ def _encode(batches: Iterator[pa.RecordBatch], rank_of: np.ndarray, bounds: np.n
 BLOCKS = "shard int, block int, start long, doc_ids array<long>, lengths array<long>, n long, control binary, data binary"
 
 
+@lean
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of one shard after the other, sorted, to blocks."""
     shard, block, start = -1, 0, 0
@@ -281,8 +285,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     coded = raw.mapInArrow(partial(_encode, rank_of=rank_of, bounds=np.asarray(bounds, np.float64)), CODED)
     placed = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", "control", "data")
     placed.mapInArrow(_blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    discard(raw)
 
 
+@lean
 def _decode(batches: Iterator[pa.RecordBatch], id_of: np.ndarray, digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():

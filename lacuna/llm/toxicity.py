@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, coded_words, materialize, parts_of
+from .common import ALNUM, LOWER, coded_words, lean, materialize, parts_of
 
 #: Lists of terms for groups of people; terms of one list are swapped for each other. A parameter of fit().
 IDENTITY_TERMS = (
@@ -68,6 +68,7 @@ class Counterfactuals:
         return self.groups[g][(i + 1 + turn % (n - 1)) % n]
 
 
+@lean
 def _examples(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """(label, slots, twin): the distinct slots of a text, and those of its counterfactual twin (empty without identity terms)."""
     swaps = Counterfactuals(terms)
@@ -195,6 +196,7 @@ def _chosen(batches: Iterator[pa.RecordBatch], number: np.ndarray) -> Iterator[p
         yield pa.record_batch({"label": batch.column("label"), "slots": pa.array(lists[0], kind), "twin": pa.array(lists[1], kind)})
 
 
+@lean
 def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, offset: float) -> Iterator[pa.RecordBatch]:
     weights = weights.astype(np.float32)
     seen = np.zeros(0, np.int64)
