@@ -134,13 +134,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
 #: Documents of one source and size that are ranked together.
 CELL_DOCS = 16384
+#: Documents of a source, at most, that make up for what its copies are off the target.
+FIXES = 3
 
 
 def copies(mixed: DataFrame, seed: int = 7) -> DataFrame:
     """The result of mix() to (doc_id, copies): how often each document goes into the mix as a whole, so that the words of each source's copies sum to its target; one of size 0 once.
 
     All documents of a source get floor(target / source_size) copies. Its documents from the largest size down, by a seeded hash among those of one size, are a line along which the rest of the target is dealt evenly: at
-    each size as many get one copy more as keep their number on the share. What the sum of words is then off by, less than the largest document, is made up by one document of about that size.
+    each size as many get one copy more as keep their number on the share. What the sum of words is then off by, less than the largest document, is made up by some documents of about that size.
     """
     keys = ["source", "target", "source_size"]
     hashed = mixed.where("size > 0").select("doc_id", *keys, "size", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 32)).alias("h"))
@@ -168,12 +170,16 @@ def copies(mixed: DataFrame, seed: int = 7) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", F.col("doc_id").asc_nulls_first()))
     chosen = joined(full.withColumn("nth", nth), cells, ("source", "size", "part")).select("doc_id", "source", "target", "size", "h", "rounds", (F.col("nth") <= F.col("most")).cast("int").alias("more"))
     chosen = materialize(chosen, "chosen")
-    # one document of each source makes up for what is left: one copy more of one that has none extra, or one less
-    off = chosen.groupBy("source", "target").agg(F.sum((F.col("rounds") + F.col("more")) * F.col("size")).alias("words")).select("source", (F.col("target") - F.col("words")).alias("off"))
-    able = joined(chosen, off, ("source",)).where(F.when(F.col("off") > 0, F.col("more") == 0).otherwise(F.col("rounds") + F.col("more") > 0) & (F.abs(F.col("size") - F.abs("off")) < F.abs("off")) & (F.col("rounds") < 3))
-    last = able.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.abs("off")).alias("d"), "h", "size", "doc_id", F.signum("off").cast("int").alias("by"))).alias("x")).select("source", "x.h", "x.size", "x.doc_id", "x.by")
-    last = materialize(last, "last")  # a row per source at most
-    fixed = joined(chosen, last, ("source", "size", "h", "doc_id"), "left").select("doc_id", (F.col("rounds") + F.col("more") + F.coalesce("by", F.lit(0))).cast("int").alias("copies"))
+    for _ in range(FIXES):  # one document of each source makes up for most of what is left: a copy more or less
+        off = chosen.groupBy("source", "target").agg(F.sum((F.col("rounds") + F.col("more")) * F.col("size")).alias("words")).select("source", (F.col("target") - F.col("words")).alias("off"))
+        fits = F.abs(F.col("size") - F.abs("off")) < F.abs("off")
+        free = F.when(F.col("off") > 0, (F.col("more") < 1) & (F.col("rounds") < 3)).otherwise((F.col("more") > -1) & (F.col("rounds") + F.col("more") > 0))
+        able = joined(chosen, off, ("source",)).where(fits & free)
+        last = able.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.abs("off")).alias("d"), "h", "size", "doc_id", F.signum("off").cast("int").alias("by"))).alias("x")).select("source", "x.h", "x.size", "x.doc_id", "x.by")
+        last = materialize(last, "last")  # a row per source at most
+        moved = joined(chosen, last, ("source", "size", "h", "doc_id"), "left")
+        chosen = materialize(moved.withColumn("more", F.col("more") + F.coalesce("by", F.lit(0))).drop("by"), "chosen")
+    fixed = chosen.select("doc_id", (F.col("rounds") + F.col("more")).cast("int").alias("copies"))
     return fixed.unionByName(mixed.where("size = 0").select("doc_id", F.lit(1).alias("copies")))
 
 
