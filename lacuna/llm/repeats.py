@@ -495,20 +495,25 @@ def remove_repeats(docs: DataFrame, length: int = 100, most: int = SLICE_BYTES)
     known = materialize(dealt.mapInArrow(partial(_resolve, length=length), "deal long, d1 long, at long, n long"), "pieces", free=True)
     rivals = known.where("n IS NULL").select("deal", "d1", "at")
     gone = known.where("n IS NOT NULL").select("d1", "at", "n")
-    by_doc = base.repartition(n, "d1")  # shuffled once, read by both joins
-    wanted = rivals.groupBy("d1").agg(F.collect_list(F.struct("deal", "at")).alias("want"))  # at most one for some 30 bytes of a document
-    cut = by_doc.join(wanted.repartition(n, "d1"), "d1").select("d1", "text", "want").mapInArrow(partial(_cut_out, length=length), "deal long, d1 long, at long, piece binary")
+    by_doc = base.where("d1 IS NOT NULL").repartition(n, "d1")  # shuffled once: all joins read the same columns of it under the same filter, else Spark would shuffle the texts for each
+
+    def cut(of: DataFrame) -> DataFrame:
+        """The pieces of rows (deal, d1, at), with their bytes."""
+        wanted = of.groupBy("d1").agg(F.collect_list(F.struct("deal", "at")).alias("want"))  # at most one for some 30 bytes of a document
+        joined = by_doc.join(wanted.repartition(n, "d1"), "d1").select("doc_id", "d1", "text", "want")
+        return joined.mapInArrow(partial(_cut_out, length=length), "deal long, d1 long, at long, piece binary")
+
     crowds = materialize(rivals.groupBy("deal").count().where(F.col("count") > CROWD).select("deal"), "crowds")
-    few = cut
+    few = rivals
     if not crowds.isEmpty():
-        few = cut.join(crowds, "deal", "left_anti")
-        crowd = cut.join(crowds, "deal", "left_semi")
+        few = rivals.join(crowds, "deal", "left_anti")
+        crowd = cut(rivals.join(crowds, "deal", "left_semi"))
         single = crowd.sortWithinPartitions("deal", "d1", "at").mapInArrow(partial(_windows, length=length), "h1 long, h2 long, d1 long, at long, n long")
         alone = single.where("n IS NULL").select("h1", "h2", "d1", "at")
         lead = alone.groupBy("h1", "h2").agg(F.min(F.struct("d1", "at")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "lead")
         late = alone.join(lead, ["h1", "h2"]).where(F.struct("d1", "at") > F.col("lead")).select("d1", "at", F.lit(length).cast("long").alias("n"))
         gone = gone.unionByName(late).unionByName(single.where("n IS NOT NULL").select("d1", "at", "n"))
-    matched = few.repartition(n, "deal").sortWithinPartitions("deal", "d1", "at").mapInArrow(partial(_match, length=length), "d1 long, at long, n long")
+    matched = cut(few).repartition(n, "deal").sortWithinPartitions("deal", "d1", "at").mapInArrow(partial(_match, length=length), "d1 long, at long, n long")
     spans = gone.unionByName(matched).groupBy("d1").agg(F.collect_list(F.struct(_start(F.col("at")), "n")).alias("spans"))
     joined = by_doc.join(spans.repartition(n, "d1"), "d1", "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -133,3 +133,13 @@ def test_a_task_remembers_classes_of_its_slices():
     batch = pa.record_batch({"d1": pa.array(range(200)), "text": pa.array([f"{i:03d}" + shared for i in range(200)])})
     n = [sum(1 for b in R._pieces(iter([batch]), 100, most) for a in b.column("at").to_pylist() if a & 0xFF) for most in (2 << 20, 3000)]
     assert n[1] <= n[0] + 20 * 10
+
+
+def test_all_joins_read_one_shuffle_of_the_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = R.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum("FileScan" in line and "text#" in line for line in plan.splitlines()) == 1, plan
