@@ -37,3 +37,20 @@ def test_vocabulary_is_made_distinct_before_it_is_counted_in_several_ways(spark)
     sizes = counts.vocabulary_sizes(rows, spark.createDataFrame([(["x", "y"],), (["x"],)], "tokens array<string>"))
     assert tuple(sizes.first()) == (3, 2, 2, 2)
     assert plan(sizes).split("Expand", 1)[1].lstrip().split("Relation [", 1)[0].count("LogicalRDD") == 0
+
+
+def test_tokens_are_stored_once(spark):
+    """Folds of them are made where they are counted: as three columns, the same words were written three times."""
+    from lacuna.queries import Counts
+
+    assert Counts(spark, SF).tokens.columns == ["toks"]
+
+
+def test_adjacent_words_without_lambdas(spark):
+    from lacuna.providers import AdjacentWords
+
+    toks = [("ab", "NOUN", None, None), ("x", "PART", None, None), ("cd", "VERB", "c", None), ("ef", "NOUN", "*", None)]
+    df = spark.createDataFrame([(1, toks), (2, toks[:2]), (3, []), (4, None)], "k int, toks array<struct<sf:string,p:string,l:string,d:string>>")
+    edges = AdjacentWords(("NOUN", "VERB")).edges(df, "k")
+    assert sorted(tuple(r) for r in edges.collect()) == [(1, "next", "ab", "c", "NOUN", "VERB"), (1, "next", "c", "ef", "VERB", "NOUN")]
+    assert "lambdafunction" not in plan(edges)
