@@ -54,3 +54,18 @@ def test_adjacent_words_without_lambdas(spark):
     edges = AdjacentWords(("NOUN", "VERB")).edges(df, "k")
     assert sorted(tuple(r) for r in edges.collect()) == [(1, "next", "ab", "c", "NOUN", "VERB"), (1, "next", "c", "ef", "VERB", "NOUN")]
     assert "lambdafunction" not in plan(edges)
+
+
+def test_pairs_are_read_once_for_candidates(spark, monkeypatch):
+    from lacuna.operators import candidates
+    from lacuna.profiles import LATIN
+
+    seen = {}
+    real = candidates.materialize
+    monkeypatch.setattr(candidates, "materialize", lambda df, name: seen.setdefault(name, real(df, name)))
+    items = spark.createDataFrame([(1, "oak", "oak", "NOUN", None), (2, "elms", "elm", "NOUN", None)], "item_id long, target string, lemma string, pos string, context string")
+    words = spark.createDataFrame([(w, "NOUN", 4) for w in ("oak", "elm", "beech", "willow")], "lemma string, pos string, frequency long")
+    pairs = spark.createDataFrame([("beech", "oak", 2), ("elm", "willow", 3), ("beech", "willow", 9)], "w1 string, w2 string, cnt long")
+    got = candidates.cooccurring(items, pairs, words, LATIN, 10, False)
+    assert sorted((r.item_id, r.word) for r in got.collect()) == [(1, "beech"), (2, "willow")]
+    assert sorted((r.word, r.other) for r in seen["index"].collect()) == [("elm", "willow"), ("oak", "beech")]
